@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import read_documents
 from .exact_dedup import exact_dedup
 from .merge_replay import encode
+from .near_dedup import near_groups
 from .packing import pack
 from .perspectives import rotate
 from .quality_rules import quality_rules
@@ -21,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_documents(spark, sf_dir), width=2)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -45,6 +50,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_perspectives": op7_perspectives,
@@ -53,6 +59,22 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_near_dedup": rf"""
+        WITH RECURSIVE split AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT k, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w] ELSE [w[j : j + 1] for j in range(1, len(w))] END) AS s
+            FROM split
+        ),
+        items AS (SELECT k, unnest(s) AS x FROM sets),
+        common AS (SELECT a.k AS i, b.k AS j, count(*) AS n FROM items a JOIN items b ON a.x = b.x AND a.k < b.k GROUP BY ALL),
+        links AS (
+            SELECT i, j FROM common JOIN sets a ON a.k = i JOIN sets b ON b.k = j WHERE 100 * n >= 80 * (len(a.s) + len(b.s) - n)
+        ),
+        edges AS (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+        reach AS (SELECT k AS i, k AS j FROM sets UNION SELECT r.i, e.j FROM reach r JOIN edges e ON r.j = e.i),
+        least AS (SELECT r.i AS k, min(o.doc_id) AS component_id FROM reach r JOIN sets o ON o.k = r.j GROUP BY r.i)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (k)
+    """,
     "op3_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
