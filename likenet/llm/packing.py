@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -33,35 +34,89 @@ class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit words; remembers words.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of its
-    blank-separated words in turn.
+    blank-separated words in turn. A word of lower-case Latin letters alone is one token or a run of tokens of which the last, and
+    only that, carries the end-of-word mark: many of them go through the merges in one call, without the
+    normaliser and splitter that they don't need, and are told apart by that mark. Punctuation after such a word is a token run of its own.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, longest: int = 40):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, remember: int = 300_000, longest: int = 40):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if mark and t.endswith(mark)]] = True
         self.remember, self.longest = remember, longest
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        self.old: dict[str, bytes] = {}  # what was known before known last began anew
+
+    def _learn(self, words: list[str]) -> None:
+        """Add the ids of words that aren't known."""
+        rest, split, bare = set(), {}, set()
+        for w in words:
+            if w.isalpha() and (w.isascii() and w.islower() or _is_plain(w)):
+                bare.add(w)
+                continue
+            core = w.rstrip(punctuation)
+            if len(core) < len(w) and core.isalpha() and (core.isascii() and core.islower() or _is_plain(core)):
+                tail = w[len(core) :]
+                split[w] = core, tail
+                if core not in self.known:
+                    bare.add(core)
+                if tail not in self.known:
+                    rest.add(tail)
+            else:
+                rest.add(w)
+        rest = list(rest)
+        self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        bare = list(bare)
+        ids = np.array(self.plain.encode_batch_fast([" ".join(bare)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        blob = ids.tobytes()
+        self.known.update(zip(bare, [blob[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        self.known.update((w, self.known[core] + self.known[tail]) for w, (core, tail) in split.items())
 
     def __call__(self, texts: list[str], end_id: int | None) -> list[bytes]:
-        split = [blank_split(t) for t in texts]
+        split = [blank_split(_lower(t)) for t in texts]
         if len(self.known) > self.remember:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         missing = list(set().union(*split).difference(self.known))
-        self.known.update(zip(missing, self._encode(missing), strict=True))
+        if self.old:
+            self.known.update((w, self.old[w]) for w in missing if w in self.old)
+            missing = [w for w in missing if w not in self.known]
+        self._learn(missing)
+        known = self.known.__getitem__
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        out = [b"".join([self.known[w] for w in words]) + end for words in split]
+        out = [b"".join(map(known, words)) + end for words in split]
         for w in missing:
             if len(w) > self.longest:
                 del self.known[w]
         return out
 
 
+def _is_plain(word: str) -> bool:
+    """Letters of Latin-1 alone, in lower case."""
+    return word.isalpha() and _is_latin(word) and word == word.lower()
+
+
+def _lower(text: str) -> str:
+    """Lower case where that's the tokenizer's own, character by character: in texts of Latin-1 characters."""
+    return text.lower() if _is_latin(text) else text
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def blank_split(text: str) -> list[str]:
     """Words between ASCII blanks."""
     for c in "\n\t\r\v\f":
