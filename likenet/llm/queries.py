@@ -13,6 +13,7 @@ from .near_dedup import near_groups
 from .packing import pack
 from .perspectives import rotate
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
 from .word_pieces import token_counts
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -32,6 +33,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_perspectives": op7_perspectives,
     "op8_quality_rules": op8_quality_rules,
