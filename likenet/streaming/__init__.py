@@ -1,0 +1 @@
+"""The reference engine has no streaming operators, and so has this one."""

@@ -1,0 +1,26 @@
+"""Every registered query of the library against its SQL, on the smallest tables."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from likenet.plans import contract
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", contract.QUERIES)
+def test_query(spark, name):
+    got = contract.QUERIES[name](spark, DATA)
+    rows, columns = got.collect(), sorted(got.columns)
+    assert rows
+    if name not in contract.ORACLE_SQL:
+        return
+    db = duckdb.connect()
+    for path in glob.glob(f"{DATA}/*.parquet"):
+        db.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    want = db.sql(f"SELECT {', '.join(columns)} FROM ({contract.ORACLE_SQL[name]})").fetchall()
+    assert sorted(tuple(r[c] for c in columns) for r in rows) == sorted(want)
