@@ -2,57 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a word: everything but blank, tab, line feed, vertical tab, form feed, carriage return.
-BLANKS = b" \t\n\x0b\x0c\r"
-WORD_PATTERN = rb"[^\x20\x09-\x0D]+"
-
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Where the setting is absent (tests, local mode) a temporary folder of this process is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="likenet-")
-        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
-    return _LOCAL_DIRS[app]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/likenet-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._likenet_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that ``materialize`` returned and nobody will read again."""
-    path = getattr(df, "_likenet_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+from ..sources.shared import discard, materialize, shared_dir
+
+__all__ = ["bodies", "discard", "held_out_column", "materialize", "mix64", "read_documents", "shared_dir", "small_batches", "text_frame"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLANKS, small_batches, text_frame
+from .common import small_batches, text_frame
 from .merge_replay import read_ranks
 
 _AUTOMATA: dict[str, "LongestMatch"] = {}
@@ -99,7 +99,7 @@ def pieces_of_ranks(path: str) -> tuple[list[bytes], list[bytes]]:
     """Word pieces from a byte-level vocabulary: what follows a leading blank begins a word, the rest continues one."""
     vocabulary = read_ranks(path)
     initial = [t[1:] for t in vocabulary if t[:1] == b" " and len(t) > 1]
-    return initial, [t for t in vocabulary if not any(b in BLANKS for b in t)]
+    return initial, [t for t in vocabulary if len(t.split()) == 1 and len(t.split()[0]) == len(t)]
 
 
 def automaton(path: str) -> LongestMatch:
