@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,22 +34,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 300_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 400_000, longest: int = 64):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.token = {i: t for t, i in ranks.items()}
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.remember, self.longest = remember, longest
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.decimal = {i: str(i) for i in self.token}
+        self.pairs: dict[int, int] = {}  # first id * 2**20 + second id
         # Of pairs of bytes; -1 stands for none.
         self.first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}  # what was known before known last began anew
 
     def _rank(self, a: int, b: int) -> int:
-        rank = self.pairs.get((a, b))
-        if rank is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            rank = self.pairs[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        rank = self.pairs[a << 20 | b] = self.ranks.get(self.token[a] + self.token[b], -1)
         return rank
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -71,43 +72,54 @@ class MergeReplay:
         ranked = rank[order]
         cuts = np.flatnonzero(np.diff(ranked)) + 1
         index = {int(r[0]): p.tolist() for r, p in zip(np.split(ranked, cuts), np.split(order, cuts), strict=True)} if len(at) else {}
-        sym, n = symbols.tolist(), len(raw)
+        # Of each position: its symbol (-1 at borders), the rank of the pair that begins there (-1 for none), its neighbours.
+        sym, rank_at, n = symbols.tolist(), rank.tolist(), len(raw)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = sorted(index)
-        pair_rank, pop, push = self._rank, heapq.heappop, heapq.heappush
+        rank_of, look, pop, push = self.pairs.get, self._rank, heapq.heappop, heapq.heappush
         while heap:
             r = pop(heap)
             positions = index.pop(r, None)
             if not positions:
                 continue
             positions.sort()
-            for k, p in enumerate(positions):
-                a, q = sym[p], right[p]
-                b = sym[q]
-                if a < 0 or b < 0 or pair_rank(a, b) != r:
+            for p in positions:
+                if rank_at[p] != r:
                     continue
-                sym[p], sym[q] = r, -2
+                q = right[p]
                 after, before = right[q], left[p]
+                sym[p], rank_at[q] = r, -1
                 right[p], left[after] = after, p
-                lower = False
-                if sym[before] >= 0 and (new := pair_rank(sym[before], r)) >= 0:
-                    if new in index:
-                        index[new].append(before)
-                    else:
-                        index[new] = [before]
-                        push(heap, new)
-                    lower = new < r
-                if sym[after] >= 0 and (new := pair_rank(r, sym[after])) >= 0:
-                    if new in index:
-                        index[new].append(p)
-                    else:
-                        index[new] = [p]
-                        push(heap, new)
-                    lower |= new < r
-                if lower and k + 1 < len(positions):
+                lower, new = False, -1
+                if (a := sym[before]) >= 0:
+                    new = rank_of(a << 20 | r)
+                    if new is None:
+                        new = look(a, r)
+                    rank_at[before] = new
+                    if new >= 0:
+                        try:
+                            index[new].append(before)
+                        except KeyError:
+                            index[new] = [before]
+                            push(heap, new)
+                        lower = new < r
+                new = -1
+                if (b := sym[after]) >= 0:
+                    new = rank_of(r << 20 | b)
+                    if new is None:
+                        new = look(r, b)
+                    if new >= 0:
+                        try:
+                            index[new].append(p)
+                        except KeyError:
+                            index[new] = [p]
+                            push(heap, new)
+                        lower |= new < r
+                rank_at[p] = new
+                if lower:
                     if r not in index:
                         push(heap, r)
-                    index.setdefault(r, []).extend(positions[k + 1 :])
+                    index.setdefault(r, []).extend(positions[bisect(positions, p) :])
                     break
         for k, p in zip(todo, starts.tolist(), strict=True):
             ids = []
@@ -122,21 +134,30 @@ class MergeReplay:
 
     def learn(self, words: list[str], at_once: int = 50_000) -> None:
         """Encode and remember words."""
+        decimal = self.decimal.__getitem__
         for k in range(0, len(words), at_once):
             part = words[k : k + at_once]
             for w, ids in zip(part, self.replay([w.encode() for w in part]), strict=True):
-                self.known[w] = len(ids), " ".join(map(str, ids)).encode(), self.decode(ids)
+                self.known[w] = " ".join(map(decimal, ids)).encode(), self.decode(ids)
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """Of each text: the number of ids, the decimal ids joined by blanks, the decoded bytes."""
         split = [self.find(t) for t in texts]
         if len(self.known) > self.remember:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         missing = list(set().union(*split).difference(self.known))
+        if self.old:
+            self.known.update((w, self.old[w]) for w in missing if w in self.old)
+            missing = [w for w in missing if w not in self.known]
         self.learn(missing)
+        known = self.known.__getitem__
         for words in split:
-            got = [self.known[w] for w in words]
-            yield sum([x[0] for x in got]), b" ".join([x[1] for x in got]), b"".join([x[2] for x in got])
+            if not words:
+                yield 0, b"", b""
+                continue
+            ids, data = zip(*map(known, words), strict=True)
+            ids, data = b" ".join(ids), b"".join(data)
+            yield ids.count(b" ") + 1, ids, data
         for w in missing:
             if len(w) > self.longest:
                 del self.known[w]
