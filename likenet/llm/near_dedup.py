@@ -10,11 +10,12 @@ the sketches, and two sketches agree in a register about as often as the sets' J
    registers a pair of similarity 0.8 meets nowhere with a probability of 3e-8.
 3. In a bucket, every class is paired with the bucket's first one: as many pairs as rows. Pairs whose joint likelihood, from
    how many registers are greater, less and equal, speaks against the threshold by a factor of e^16 are put aside.
-   The others are verified on their full sets.
+   Of the others, each class's likeliest pair is verified on the full sets.
 4. Verified links are joined to components by hooking and pointer jumping.
 5. In buckets that still hold several components, classes of different components are compared, sketch against
-   sketch, in blocks of bounded size; what the likelihood leaves is verified and joined too. Classes of one component
-   aren't compared again: a further link among them changes nothing.
+   sketch, in blocks of bounded size. First each class's likeliest pair is verified and joined. Then the sets of all classes that are in
+   some likely pair are brought to their blocks, and every such pair is verified there unless links of the block have joined it, so
+   what comes out grows with the rows. Classes of one component aren't compared: a further link among them changes nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -74,16 +74,20 @@ def merge_sketches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for each band: (sets, bands)."""
-    parts = registers.reshape(len(registers), -1, rows).astype(np.uint64)
-    key = np.arange(parts.shape[1], dtype=np.uint64)[None, :] + np.uint64(1)
-    key = np.repeat(key, len(parts), axis=0)
-    for k in range(rows):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
+def band_key(number: np.ndarray, registers: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the registers (last axis) of the bands of these numbers."""
+    key = number.astype(np.uint64) + np.uint64(1)
+    for k in range(registers.shape[-1]):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + registers[..., k].astype(np.uint64))
     return key
 
 
+def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
+    """The keys of all bands: (sets, bands)."""
+    parts = registers.reshape(len(registers), registers.shape[1] // rows, rows)
+    return band_key(np.broadcast_to(np.arange(parts.shape[1]), parts.shape[:2]), parts)
+
+
 def log_likelihood(greater, less, equal, n_a, n_b, similarity, base: float = BASE):
     """Of a similarity, given how many registers of A are greater than, less than and equal to those of B."""
     chance = lambda x: -np.log1p(-np.clip(x, 0, 1) * (base - 1) / base) / np.log(base)
@@ -131,7 +135,7 @@ def _digest_pass(width: int, bands: int, rows: int):
 
 
 def _by_likelihood(percent: int):
-    """Of rows (a, n_a, reg_a, b, n_b, reg_b), the pairs (a, b) that may be similar enough."""
+    """Of rows (a, n_a, reg_a, b, n_b, reg_b), the pairs (a, b, same) that may be similar enough; same: registers that agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,24 +144,28 @@ def _by_likelihood(percent: int):
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
             x, y = (np.frombuffer(b"".join(col[c].to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("reg_a", "reg_b"))
             up, down = (x > y).sum(axis=1), (x < y).sum(axis=1)
-            good = likely(up, down, x.shape[1] - up - down, col["n_a"].to_numpy().astype(float), col["n_b"].to_numpy().astype(float), percent)
-            yield pa.RecordBatch.from_arrays([col["a"].filter(pa.array(good)), col["b"].filter(pa.array(good))], ["a", "b"])
+            same = x.shape[1] - up - down
+            good = pa.array(likely(up, down, same, col["n_a"].to_numpy().astype(float), col["n_b"].to_numpy().astype(float), percent))
+            yield pa.RecordBatch.from_arrays([col["a"].filter(good), col["b"].filter(good), pa.array(same).filter(good)], ["a", "b", "same"])
 
     return run
 
 
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets, as sorted 64-bit numbers, are similar enough."""
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort(kind="stable")  # merges the two runs
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _by_sets(percent: int):
     """Of rows (a, set_a, b, set_b), the pairs (a, b) that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
-            good = []
-            for x, y in zip(col["set_a"].to_pylist(), col["set_b"].to_pylist(), strict=True):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(both) - common))
+            good = [similar(x, y, percent) for x, y in zip(col["set_a"].to_pylist(), col["set_b"].to_pylist(), strict=True)]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([col["a"].filter(keep), col["b"].filter(keep)], ["a", "b"])
 
@@ -189,14 +197,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among ``pairs`` (a, b): by likelihood first, then on the full sets of what is left."""
-    told = classes.select("node", "n_shingles", "registers")
-    a = told.toDF("a", "n_a", "reg_a")
-    b = told.toDF("b", "n_b", "reg_b")
-    left = materialize(pairs.join(a, "a").join(b, "b").select("a", "n_a", "reg_a", "b", "n_b", "reg_b").mapInArrow(_by_likelihood(percent), "a long, b long"), "pairs")
-
-    wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(classes.select("node", "set_key", "rep_id"), "node")
+def _sets(nodes: DataFrame, classes: DataFrame, source: DataFrame, width: int) -> DataFrame:
+    """(node, elements): the full sets of ``nodes`` (node), from the texts."""
+    wanted = nodes.join(classes.select("node", "set_key", "rep_id"), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +212,22 @@ def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int,
 
     texts = source.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep_id")))
     found = texts.select("node", "set_key", "body").mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"])
-    full = materialize(found, "sets")
+    return materialize(found, "sets")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int, best: bool) -> DataFrame:
+    """The links among ``pairs`` (a, b): by likelihood first, then on the full sets of what is left.
+
+    With ``best``, only the likeliest pair of each ``b`` is verified.
+    """
+    told = classes.select("node", "n_shingles", "registers")
+    a = told.toDF("a", "n_a", "reg_a")
+    b = told.toDF("b", "n_b", "reg_b")
+    left = pairs.join(a, "a").join(b, "b").select("a", "n_a", "reg_a", "b", "n_b", "reg_b").mapInArrow(_by_likelihood(percent), "a long, b long, same long")
+    if best:
+        left = left.groupBy("b").agg(F.max(F.struct("same", "a")).alias("top")).select("top.a", "b")
+    left = materialize(left.select("a", "b"), "pairs")
+    full = _sets(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), classes, source, width)
     checked = left.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").select("a", "set_a", "b", "set_b")
     out = materialize(checked.mapInArrow(_by_sets(percent), "a long, b long"), "verified")
     discard(full)
@@ -217,55 +235,176 @@ def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int,
     return out
 
 
-def _across(percent: int):
-    """Pairs of classes of different components in one block of a bucket that may be similar enough."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(block["registers"]), np.uint16).reshape(len(block), -1)
-        node, label, n, role = (block[c].to_numpy() for c in ("node", "label", "n_shingles", "side"))
-        out = []
-        for k in range(len(block)):
-            # Side 0 belongs to this block; what was copied here from another block is side 1. Pairs of two copies meet elsewhere.
-            near = (label != label[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
-            near &= ((role == 0) & (node > node[k])) | (role != 0) if role[k] == 0 else False
-            at = np.flatnonzero(near)
-            if len(at):
-                up, down = (regs[k] > regs[at]).sum(axis=1), (regs[k] < regs[at]).sum(axis=1)
-                size = np.full(len(at), float(n[k]))
-                at = at[likely(up, down, regs.shape[1] - up - down, size, n[at].astype(float), percent)]
-                out.append(np.column_stack([np.minimum(node[at], node[k]), np.maximum(node[at], node[k])]))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    return run
+class _Blocks:
+    """Compares the classes of two blocks of a bucket (or those of one) by their sketches.
 
+    Rows come as columns band, x, y, side, node, label, n_shingles, registers (and elements), sorted by band, x and y; side 0 is block x,
+    side 1 block y. Blocks x and y may be the same: then all rows have side 0.
+    """
 
-def _remaining(met: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Step 5's pairs (a, b).
+    def __init__(self, percent: int, bands: int, rows: int):
+        self.percent, self.bands, self.rows = percent, bands, rows
+        self.kind = np.dtype((np.uint16, (bands * rows,)))
 
-    A bucket's largest component, if it has more than half of the rows, is its main one. Rows are dealt to blocks;
-    those of other components are also copied to every later block, and to every block if there is a main one, whose rows are
-    copied nowhere. So the copies grow with the rows outside the main component.
+    def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int]]]:
+        """Columns of whole groups, and where each group begins, with the end."""
+        held: list | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns[:7]] + [np.frombuffer(b"".join(batch.column(7).to_pylist()), self.kind)]
+            cols += [np.array([*c.to_pylist(), None], object)[:-1] for c in batch.columns[8:]]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            cuts = (np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1).tolist()
+            if cuts:
+                yield [c[: cuts[-1]] for c in cols], [0, *cuts]
+            held = [c[cuts[-1] if cuts else 0 :] for c in cols]
+        if held is not None:
+            yield held, [0, len(held[0])]
+
+    def agreeing(self, cols: list, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one group: numbers of rows of different components that agree in enough registers, and in how many they do."""
+        x, y, side, node, label, regs = (cols[k][low:high] for k in (1, 2, 3, 4, 5, 7))
+        one = np.flatnonzero(side == 0)
+        two = one if x[0] == y[0] else np.flatnonzero(side == 1)
+        m = regs.shape[1]
+        if len(one) * len(two) <= 256:
+            same = (regs[one][:, None, :] == regs[two][None, :, :]).sum(axis=2)
+        else:
+            same = np.zeros((len(one), len(two)), np.uint8 if m < 256 else np.int32)
+            left, right = np.ascontiguousarray(regs[one].T), np.ascontiguousarray(regs[two].T)
+            for k in range(m):
+                same += left[k][:, None] == right[k][None, :]
+        # Registers agree at least as often as the similarity says: fewer by six standard deviations aren't worth a closer look.
+        share = self.percent / 100
+        ok = same >= m * share - 6 * np.sqrt(m * share * (1 - share)) - 1
+        ok &= label[one][:, None] != label[two][None, :]
+        if x[0] == y[0]:
+            ok &= node[one][:, None] < node[two][None, :]
+        i, j = np.nonzero(ok)
+        return low + one[i], low + two[j], same[i, j].astype(np.int64)
+
+    def candidates(self, cols: list, cuts: list[int], first_band_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all groups, in turn: numbers of rows of different components that may be similar enough, and in how many registers they agree.
+
+        With ``first_band_only``, a pair that agrees in several bands counts in the first of them only.
+        """
+        found, waiting, kept = [], 0, [(np.zeros(0, np.int64),) * 3]
+
+        def settle() -> None:
+            i, j, same = (np.concatenate(x) for x in zip(*found, strict=True))
+            # So many pairs at once: a block may have a quarter of a million.
+            for k in range(0, len(i), 20_000):
+                part = i[k : k + 20_000], j[k : k + 20_000], same[k : k + 20_000]
+                good = self._likely(cols, *part, first_band_only)
+                kept.append(tuple(x[good] for x in part))
+
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if high > low + 1:
+                found.append(self.agreeing(cols, low, high))
+                waiting += len(found[-1][0])
+                if waiting > 20_000:
+                    settle()
+                    found, waiting = [], 0
+        if waiting:
+            settle()
+        return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+
+    def _likely(self, cols: list, i: np.ndarray, j: np.ndarray, same: np.ndarray, first_band_only: bool) -> np.ndarray:
+        band, n, regs = cols[0], cols[6], cols[7]
+        up = (regs[i] > regs[j]).sum(axis=1)
+        good = likely(up, regs.shape[1] - up - same, same, n[i].astype(float), n[j].astype(float), self.percent)
+        if first_band_only:
+            a = regs[i].reshape(len(i), self.bands, self.rows)
+            first = (a == regs[j].reshape(len(j), self.bands, self.rows)).all(axis=2).argmax(axis=1)
+            good &= band_key(first, a[np.arange(len(i)), first]).view(np.int64) == band[i]
+        return good
+
+    def likeliest(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each row of a group, the likeliest pair (a, b)."""
+        for cols, cuts in self.groups(batches):
+            i, j, same = self.candidates(cols, cuts, False)
+            if len(i):
+                one, two, same = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([same, same])
+                order = np.lexsort((cols[4][two], -same, one))
+                top = order[np.flatnonzero(np.concatenate([[True], np.diff(one[order]) != 0]))]
+                pairs = np.sort(np.column_stack([cols[4][one[top]], cols[4][two[top]]]), axis=1)
+                pairs = np.unique(pairs, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def doubtful(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows (band, x, y, side, node, label) that are in any pair."""
+        for cols, cuts in self.groups(batches):
+            i, j, _ = self.candidates(cols, cuts, True)
+            if len(i):
+                rows = np.unique(np.concatenate([i, j]))
+                yield pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in cols[:6]], ["band", "x", "y", "side", "node", "label"])
+
+    def joining(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (a, b), verified on the full sets, likeliest first; of pairs that other links of the batch have joined, none."""
+        for cols, cuts in self.groups(batches):
+            node, label, elements = cols[4], cols[5], cols[8]
+            root = {k: k for k in label.tolist()}
+
+            def find(k: int, root=root) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            i, j, same = self.candidates(cols, cuts, True)
+            order = np.argsort(-same, kind="stable")
+            out = []
+            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                p, q = find(int(label[a])), find(int(label[b]))
+                if p != q and similar(elements[a], elements[b], self.percent):
+                    root[p] = q
+                    out.append((int(node[a]), int(node[b])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _blocks(met: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Step 5's blocks: (band, x, y, side, node, label) of buckets that hold several components.
+
+    A bucket's largest component, if it has more than half of the rows, is its main one. Its rows are dealt to blocks, and so are the others, ``BLOCK``
+    to each. Two blocks of others meet, and a block of others and one of the main component; the main component's
+    blocks don't meet each other.
     """
-    rows = met.where("met >= 3").select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    rows = materialize(rows, "met")
-    mixed = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
-    sizes = rows.join(mixed.select("band"), "band", "left_semi").groupBy("band", "label").agg(F.count(F.lit(1)).alias("part"))
+    told = met.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    told = materialize(told, "met")
+    mixed = told.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
+    sizes = told.join(mixed.select("band"), "band", "left_semi").groupBy("band", "label").agg(F.count(F.lit(1)).alias("part"))
     top = sizes.groupBy("band").agg(F.max(F.struct("part", "label")).alias("top"))
+    has_main = 2 * F.col("top.part") > F.col("rows")
     plan = mixed.join(top, "band").select(
         "band",
-        F.when(2 * F.col("top.part") > F.col("rows"), F.col("top.label")).alias("main"),
-        F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"),
+        F.when(has_main, F.col("top.label")).alias("main"),
+        F.when(has_main, F.ceil(F.col("top.part") / BLOCK)).otherwise(0).cast("int").alias("main_blocks"),
+        F.ceil((F.col("rows") - F.when(has_main, F.col("top.part")).otherwise(0)) / BLOCK).cast("int").alias("blocks"),
+    )
+    told = told.join(plan, "band").withColumn("is_main", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
+    told = told.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int"))
+    told = told.withColumn(
+        "spot",
+        F.explode(
+            F.expr(
+                "case when is_main then transform(sequence(0, blocks - 1), k -> struct(k as x, -own - 1 as y, 1 as side)) else concat("
+                " transform(sequence(own, blocks - 1), k -> struct(own as x, k as y, 0 as side)),"
+                " transform(filter(sequence(0, own), k -> k < own), k -> struct(k as x, own as y, 1 as side)),"
+                " transform(filter(sequence(0, main_blocks), k -> k > 0), k -> struct(own as x, -k as y, 0 as side))) end"
+            )
+        ),
     )
-    rows = rows.join(plan, "band").join(classes.select("node", "n_shingles", "registers"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("is_main", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
-    # Rows of other components go to every block before their own (each pair of blocks meets once), or, as main rows stay, to all.
-    last = F.when(F.col("is_main"), F.col("own")).when(F.col("main").isNull(), F.col("own")).otherwise(F.col("blocks") - 1)
-    first = F.when(F.col("is_main"), F.col("own")).otherwise(F.lit(0))
-    rows = rows.withColumn("block", F.explode(F.sequence(first, last)))
-    rows = rows.withColumn("side", (F.col("block") != F.col("own")).cast("int"))
-    found = rows.select("band", "block", "side", "node", "label", "n_shingles", "registers").groupBy("band", "block").applyInPandas(_across(percent), "a long, b long")
-    return found.distinct()
+    return told.select("band", "spot.x", "spot.y", "spot.side", "node", "label")
+
+
+def _gathered(rows: DataFrame, *with_columns: str) -> DataFrame:
+    """Rows of one pair of blocks together. The number of partitions is set: few bytes may be much work here."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("band", "x", "y", "side", "node", "label", "n_shingles", "registers", *with_columns)
+    return rows.repartition(n, "band", "x", "y").sortWithinPartitions("band", "x", "y")
 
 
 def near_groups(
@@ -300,11 +439,18 @@ def near_groups(
     met = materialize(in_bands.join(leaders, "band").select("band", "node", "n_shingles", "lead", "met"), "buckets")
     close = 100 * F.least("n_shingles", "lead.n_shingles") >= percent * F.greatest("n_shingles", "lead.n_shingles")
     pairs = met.where((F.col("node") != F.col("lead.node")) & close).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verify(pairs, classes, source, width, percent)
+    links = _verify(pairs, classes, source, width, percent, best=True)
+    labels = components(links)
+    compare, told_of = _Blocks(percent, bands, rows), classes.select("node", "n_shingles", "registers")
+    link, place = "a long, b long", "band long, x int, y int, side int, node long, label long"
+    across = _gathered(_blocks(met, labels, classes).join(told_of, "node")).mapInArrow(compare.likeliest, link).distinct()
+    links = links.union(_verify(across, classes, source, width, percent, best=False))
     labels = components(links)
-    across = materialize(_remaining(met, labels, classes, percent), "across")
-    if across.limit(1).count():
-        links = links.union(_verify(across, classes, source, width, percent))
+    doubtful = materialize(_gathered(_blocks(met, labels, classes).join(told_of, "node")).mapInArrow(compare.doubtful, place), "doubtful")
+    if doubtful.limit(1).count():
+        full = _sets(doubtful.select("node").distinct(), classes, source, width)
+        joined = _gathered(doubtful.join(told_of, "node").join(full, "node"), "elements").mapInArrow(compare.joining, link)
+        links = links.union(materialize(joined, "joined"))
         labels = components(links)
 
     least = classes.join(labels, "node", "left").select("set_key", "rep_id", F.coalesce("label", "node").alias("label"))
