@@ -35,11 +35,12 @@ def _on_cluster(spark: SparkSession, path: str):
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files go when the session ends, or by ``discard``.
+    The files go when the session ends, or by ``discard``. They are compressed with zstd, whose buffers lie on the heap: those
+    of the default codec lie outside it and stay until a collection that many small files never cause.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/likenet-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     files, at = _on_cluster(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
