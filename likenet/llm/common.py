@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +18,26 @@ from ..sources.shared import discard, materialize, shared_dir
 __all__ = ["bodies", "discard", "held_out_column", "materialize", "mix64", "read_documents", "shared_dir", "small_batches", "text_frame"]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python needn't have it on its path."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if sc.applicationId in _SHIPPED or not (root / "likenet").is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="likenet-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file until it ends
+    with zipfile.ZipFile(f"{folder}/likenet_code.zip", "w") as z:
+        for path in sorted((root / "likenet").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    sc.addPyFile(f"{folder}/likenet_code.zip")
+    _SHIPPED.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts stays small."""
+    """Bound the rows of an Arrow batch, so that a batch of long texts stays small; make sure that executors have the code."""
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
