@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,11 +28,9 @@ def normalised(edges: DataFrame, weighted: bool = True) -> DataFrame:
     one and a repeated edge adds up.
     """
     both = symmetrised(edges)
-    if not weighted:
-        cells = both.groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        return cells.withColumn("w", F.col("m") / F.sum("m").over(Window.partitionBy("v"))).select("u", "v", "w")
-    cells = both.groupBy("u", "v").agg(F.max("w").alias("x"), F.count(F.lit(1)).alias("m"))
-    return cells.select("u", "v", (F.col("x") / F.sum("m").over(Window.partitionBy("v"))).alias("w"))
+    # The number of entries comes by a join, not by a window: a vertex with very many edges is then counted in parts, and its join split.
+    cells = both.groupBy("u", "v").agg((F.max("w") if weighted else F.count(F.lit(1)).cast("double")).alias("x"))
+    return cells.join(degrees(edges), "v").select("u", "v", (F.col("x") / F.col("d")).alias("w"))
 
 
 def transposed(cells: DataFrame) -> DataFrame:
