@@ -67,15 +67,15 @@ def host_verdicts(measured: DataFrame, max_rate: float = 0.5) -> DataFrame:
     hosts = measured.where("host is not null").groupBy("host").agg(
         F.count(F.lit(1)).alias("host_docs"), *(F.sum(F.expr(f"if({rule}, 1, 0)")).alias(name) for name, rule in RULES.items())
     )
-    moments = hosts.agg(*(x for name in RULES for x in (F.avg(F.expr(f"{name} / host_docs")).alias(f"{name}_mean"), F.var_pop(F.expr(f"{name} / host_docs")).alias(f"{name}_var"))))
-    both = hosts.crossJoin(F.broadcast(moments))  # one row
-    for name in RULES:
-        m, v = F.col(f"{name}_mean"), F.col(f"{name}_var")
-        strength = m * (1 - m) / v - 1
-        shrunk = (F.col(name) + m * strength) / (F.col("host_docs") + strength)
-        both = both.withColumn(f"{name}_rate", F.when(v <= 1e-12, m).when(strength <= 0, F.col(name) / F.col("host_docs")).otherwise(shrunk))
+    rates = {name: F.expr(f"{name} / host_docs") for name in RULES}
+    moments = hosts.agg(*(f(rate).alias(f"{name}_{k}") for name, rate in rates.items() for k, f in (("mean", F.avg), ("var", F.var_pop)))).first()
+    for name, rate in rates.items():
+        m, v = moments[f"{name}_mean"] or 0.0, moments[f"{name}_var"] or 0.0
+        strength = m * (1 - m) / v - 1 if v > 1e-12 else None
+        shrunk = F.lit(m) if strength is None else rate if strength <= 0 else (F.col(name) + m * strength) / (F.col("host_docs") + strength)
+        hosts = hosts.withColumn(f"{name}_rate", shrunk)
     rejected = reduce(lambda a, b: a | b, (F.col(f"{name}_rate") > max_rate for name in RULES))
-    return both.select("host", "host_docs", *(f"{name}_rate" for name in RULES), rejected.alias("host_rejected"))
+    return hosts.select("host", "host_docs", *(f"{name}_rate" for name in RULES), rejected.alias("host_rejected"))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] = ("doc_id",), max_rate: float = 0.5) -> DataFrame:
