@@ -13,6 +13,8 @@ an anchor at the same place inside, and it is enough to compare anchors that sha
    left. In a branch that agrees on the left for ``d`` bytes, the greatest common prefix that an anchor has with another one is the one with its neighbour
    in suffix order; with an earlier one, with its previous or next smaller position there (the longest previous
    factor). Windows that begin ``d`` bytes before the anchor repeat if ``d`` and that prefix make up ``length``.
+   A substring with too many classes to order in one task has its windows split in ``PARTS`` parts by ``d``; those of a part have more than
+   the substring in common, and anchors meet again by that. Parts are split further where need be; in the end a part is one window.
 4. The spans of each document are merged and cut out.
 
 With ``keep="none"`` every copy of a repeated string goes; with ``keep="first"`` the first one (least identifier, then least
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import materialize, mix64, small_batches
 
 GRAM = 32
-#: Classes of one substring that are put in order in one task; beyond, their windows are compared one by one.
+#: Anchors that are put in order in one task; beyond, they are split by more of their surroundings.
 MOST_CLASSES = 20_000
 #: Texts are hashed together up to so many bytes.
 _BLOCK = 1 << 17
@@ -125,7 +127,7 @@ def _merge_spans(spans: np.ndarray) -> np.ndarray:
 # What a partition sends for each anchor.
 _SENT = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("place", "<i4"), ("size", "<i4"), ("check", "<u4"), ("many", "u1")])
 _ROWS = "doc long, check long, kind int, gram long, spans binary"
-SPAN, ASK, SHOW, ASK_WINDOWS, SHOW_WINDOWS = range(5)
+SPAN, ASK, SHOW, ASK_MANY, SHOW_MANY = range(5)
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -292,10 +294,35 @@ def _bucket_pass(length: int, first_stays: bool, most_classes: int):
     return run
 
 
+#: Into so many parts a range of windows is split.
+PARTS = 4
+
+
+def _splits(length: int) -> int:
+    """How often all windows of an anchor have to be split until each is by itself."""
+    width, n = length - GRAM + 1, 0
+    while width > 1:
+        width, n = -(-width // PARTS), n + 1
+    return n
+
+
+def _parts(low: int, high: int, left: bytes, right: bytes, length: int) -> Iterator[tuple[int, int, int]]:
+    """(gram, low, high) for each part of the windows that begin low to high bytes before an anchor, where it has any.
+
+    What all windows of a part have in common makes its gram.
+    """
+    width = -(-(high - low + 1) // PARTS)
+    for x in range(low, high + 1, width):
+        y = min(high, x + width - 1)
+        if len(left) >= x and len(right) >= length - y:
+            core = b"%d %d " % (x, y) + left[:x] + b"|" + right[: length - y]
+            yield int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), x, y
+
+
 def _surroundings_pass(length: int):
-    """Of rows (doc, body, asked): (gram, doc, check, place, kind, left, right), left read backwards.
+    """Of rows (doc, body, asked): (doc, check, kind, gram, spans, place, low, high, left, right), left read backwards.
 
-    Classes of a substring that has too many give a row for each of their windows, with its hash in gram and left.
+    Anchors of a substring with too many classes give a row for each part of their windows.
     """
     reach = length - GRAM
 
@@ -308,29 +335,28 @@ def _surroundings_pass(length: int):
                 for ask in asked:
                     if ask["check"] != check:
                         continue
-                    place = int.from_bytes(ask["spans"], "little")
-                    if ask["kind"] >= ASK_WINDOWS:
-                        for p in range(max(0, place - reach), min(place, len(body) - length) + 1):
-                            digest = hashlib.blake2b(body[p : p + length], digest_size=16).digest()
-                            out.append((int.from_bytes(digest[:8], "little", signed=True), doc, check, p, ask["kind"], digest[8:], b""))
+                    place, kind = int.from_bytes(ask["spans"], "little"), ask["kind"]
+                    at = len(body) - place
+                    left, right = back[at : at + reach], body[place : place + length]
+                    if kind >= ASK_MANY:
+                        out += [(doc, check, kind - 2, gram, None, place, x, y, left, right) for gram, x, y in _parts(0, reach, left, right, length)]
                     else:
-                        at = len(body) - place
-                        out.append((ask["gram"], doc, check, place, ask["kind"], back[at : at + reach], body[place : place + length]))
+                        out.append((doc, check, kind, ask["gram"], None, place, 0, reach, left, right))
                 if len(out) > 20_000:
-                    yield _surrounding_rows(out)
+                    yield _full_rows(out)
                     out = []
             if out:
-                yield _surrounding_rows(out)
+                yield _full_rows(out)
 
     return run
 
 
-_AROUND = "gram long, doc long, check long, place int, kind int, left binary, right binary"
+_FULL = _ROWS + ", place int, low int, high int, left binary, right binary"
 
 
-def _surrounding_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    names = [x.split()[0] for x in _AROUND.split(", ")]
+def _full_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in _FULL.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
@@ -368,8 +394,11 @@ def longest_factors(prefixes: list[int], places: list | None) -> list[int]:
     return best
 
 
-def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, places: list | None = None) -> list[list[tuple[int, int]]]:
-    """Of each anchor: spans, relative to it, of its windows that repeat around another anchor (with ``places``: an earlier one)."""
+def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, places: list | None = None, least: int = 0, most: int = 1 << 30) -> list[list[tuple[int, int]]]:
+    """Of each anchor: spans, relative to it, of its windows that repeat around another anchor (with ``places``: an earlier one).
+
+    Windows that begin ``least`` to ``most`` bytes before the anchor are looked at.
+    """
     n = len(lefts)
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     by_left = sorted(range(n), key=lefts.__getitem__)
@@ -377,7 +406,7 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, place
     rank = [0] * n
     for k, a in enumerate(sorted(range(n), key=rights.__getitem__)):
         rank[a] = k
-    todo = [(0, n - 1, 0)] if n > 1 else []
+    todo = [(0, n - 1, least)] if n > 1 else []
     while todo:
         low, high, base = todo.pop()
         depth = min(agree[low:high])
@@ -385,9 +414,9 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, place
             branch = sorted(by_left[low : high + 1], key=rank.__getitem__)
             prefixes = [common_prefix(rights[a], rights[b]) for a, b in zip(branch, branch[1:], strict=False)]
             for a, right in zip(branch, longest_factors(prefixes, places and [places[a] for a in branch]), strict=True):
-                nearest = max(base, length - right)
-                if nearest <= depth:
-                    out[a].append((-depth, length - nearest))
+                nearest, furthest = max(base, length - right), min(depth, most)
+                if nearest <= furthest:
+                    out[a].append((-furthest, length - nearest))
         begin = low
         for k in range(low, high + 1):
             if k == high or agree[k] == depth:
@@ -397,41 +426,62 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, place
     return out
 
 
-def _order_pass(length: int, first_stays: bool):
-    """Of surroundings sorted by gram (windows by hash, document and place too): spans."""
+def _order_pass(length: int, first_stays: bool, most_classes: int):
+    """Of full rows sorted by gram: spans, those of the input too, and the parts of what is too much to order at once."""
+
+    def span(row: tuple, spans: list[tuple[int, int]]) -> tuple:
+        place = row[5]
+        return (row[0], row[1], SPAN, row[0], np.array([(place + a, place + b) for a, b in spans], "<i4").tobytes(), *[None] * 5)
 
-    def anchors(rows: list[tuple]) -> list[tuple]:
-        places = [(r[1], r[3]) for r in rows] if first_stays else None
-        found = repeated_windows([r[5] for r in rows], [r[6] for r in rows], length, places)
-        return [
-            (doc, check, np.array([(place + a, place + b) for a, b in spans], "<i4").tobytes())
-            for (_, doc, check, place, kind, *_), spans in zip(rows, found, strict=True)
-            if spans and kind == ASK
-        ]
+    def order(rows: list[tuple]) -> list[tuple]:
+        places = [(r[0], r[5]) for r in rows] if first_stays else None
+        found = repeated_windows([r[8] for r in rows], [r[9] for r in rows], length, places, rows[0][6], rows[0][7])
+        return [span(r, spans) for r, spans in zip(rows, found, strict=True) if spans and r[2] == ASK]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        # The first of equal windows, whether it needs no more telling, and the last one. Two anchors may show one window.
-        lead, told, last = None, True, None
+        out: list[tuple] = []
+        many = False  # the group has been found too large; of equal windows (low = high), the first so far stays in it
+
+        def spill(row: tuple) -> None:
+            _, _, kind, _, _, place, low, high, left, right = row
+            if low < high:
+                out.extend((*row[:3], gram, None, place, x, y, left, right) for gram, x, y in _parts(low, high, left, right, length))
+            elif not first_stays:
+                out.append(span(row, [(-low, length - low)]))
+            else:
+                a, b = sorted([group.pop(), row], key=lambda r: (r[0], r[5]))
+                group.append(a)
+                if (a[0], a[5]) != (b[0], b[5]):
+                    out.append(span(b, [(-low, length - low)]))
+
         for batch in batches:
-            out: list[tuple] = []
+            done = pc.equal(batch.column(2), SPAN)
+            if ready := pc.sum(done).as_py():
+                yield batch.filter(done)
+                if ready == batch.num_rows:
+                    continue
+                batch = batch.filter(pc.invert(done))
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[4] >= ASK_WINDOWS:
-                    if lead is None or (row[0], row[5]) != (lead[0], lead[5]):
-                        lead, told = row, first_stays
-                    elif row[1:4] != last[1:4]:
-                        out += [(x[1], x[2], np.array([x[3], x[3] + length], "<i4").tobytes()) for x in ([row] if told else [lead, row])]
-                        told = True
-                    last = row
+                if group and group[0][3] != row[3]:
+                    if not many:
+                        out += order(group)
+                    group, many = [], False
+                if many:
+                    spill(row)
                     continue
-                if group and group[0][0] != row[0]:
-                    out += anchors(group)
-                    group = []
                 group.append(row)
+                if len(group) > most_classes:
+                    rows, group, many = group, group[:1], True
+                    for r in rows[first_stays and row[6] == row[7] :]:
+                        spill(r)
             if out:
-                yield _span_rows(*map(list, zip(*out, strict=True)))
-        if group and (out := anchors(group)):
-            yield _span_rows(*map(list, zip(*out, strict=True)))
+                yield _full_rows(out)
+                out.clear()
+        if group and not many:
+            out += order(group)
+        if out:
+            yield _full_rows(out)
 
     return run
 
@@ -501,9 +551,11 @@ def substring_dedup(
     met = materialize(met, "anchors")
 
     asks = met.where(F.col("kind") != SPAN).groupBy("doc").agg(F.collect_list(F.struct("check", "kind", "gram", "spans")).alias("asked"))
-    around = base.join(asks.hint("shuffle_hash"), "doc").select("doc", "body", "asked").mapInArrow(_surroundings_pass(length), _AROUND)
-    around = around.repartition("gram").sortWithinPartitions("gram", "left", "doc", "place")
-    found = around.mapInArrow(_order_pass(length, first_stays), _ROWS).unionByName(met.where(F.col("kind") == SPAN))
+    around = base.join(asks.hint("shuffle_hash"), "doc").select("doc", "body", "asked").mapInArrow(_surroundings_pass(length), _FULL)
+    # Spans go through the later passes untouched; without large substrings there is nothing else in those.
+    for _ in range(max(1, _splits(length))):
+        around = around.repartition("gram").sortWithinPartitions("gram").mapInArrow(_order_pass(length, first_stays, most_classes), _FULL)
+    found = around.select("doc", "check", "spans").union(met.where(F.col("kind") == SPAN).select("doc", "check", "spans"))
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("check", "spans")).alias("found"))
     rows = base.join(spans.hint("shuffle_hash"), "doc", "left")
     kinds = dict(docs.dtypes)
