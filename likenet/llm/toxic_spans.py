@@ -47,22 +47,23 @@ def markers(texts: list[str], labels: np.ndarray, precision: float = 0.85) -> li
     They must be in enough toxic documents that, were labels dealt at random, a tenth of one feature would be expected to pass. Copies
     mustn't make up the number, so documents count once for each least hash of their tokens, which near copies mostly share.
     """
-    total, toxic = Counter(), Counter()
-    tokens = [set(map(normal, t.split())) for t in texts]
-    for words, y in zip(tokens, labels, strict=True):
-        seen = {f for w in words for f in features(w)}
-        total.update(seen)
-        if y:
-            toxic.update(seen)
-    least = max(2, np.ceil(np.log(0.1 / max(1, len(total))) / np.log(np.clip(labels.mean(), 0.01, 0.9))))
-    likely: dict[str, set[int]] = {f: set() for f, n in toxic.items() if n >= least and n >= precision * total[f]}
-    for words, y in zip(tokens, labels, strict=True):
-        if y and words:
-            kind = min(xxhash.xxh3_64_intdigest(w) for w in words)
-            for f in {f for w in words for f in features(w)}:
-                if f in likely:
-                    likely[f].add(kind)
-    return sorted(f for f, kinds in likely.items() if len(kinds) >= least)
+
+    def of(text: str) -> set[str]:
+        return {f for w in set(map(normal, text.split())) for f in features(w)}
+
+    kinds: dict[str, set[int]] = {}
+    for text, y in zip(texts, labels, strict=True):
+        if y and text.strip():
+            kind = min(xxhash.xxh3_64_intdigest(normal(w)) for w in text.split())
+            for f in of(text):
+                kinds.setdefault(f, set()).add(kind)
+    least = max(2, np.ceil(np.log(0.1 / max(1, len(kinds))) / np.log(np.clip(labels.mean(), 0.01, 0.9))))
+    likely = {f for f, k in kinds.items() if len(k) >= least}
+    del kinds
+    toxic, clean = Counter(), Counter()
+    for text, y in zip(texts, labels, strict=True):
+        (toxic if y else clean).update(of(text) & likely)
+    return sorted(f for f in likely if toxic[f] >= precision * (toxic[f] + clean[f]))
 
 
 class Chain:
@@ -135,35 +136,43 @@ class Chain:
             counts += (joint / joint.sum(axis=(0, 1))).sum(axis=2)
         return out, counts, (first / (1 + first)).sum() if longest else 0.0
 
-    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 40, ridge: float = 1e-3, window: int = 400) -> "Chain":
+    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 40, ridge: float = 1e-3, window: int = 200) -> "Chain":
         """Fit the chain on windows of the texts, then the document's logistic function on whole texts."""
-        tokens, tags = [], []
+        # Of each window only its length and its markers are kept, not its words.
+        sizes, tag_parts, where, which, at = [], [], [], [], 0
+        hits: dict[str, list[int]] = {}
         for text, y in zip(texts, labels, strict=True):
             words = text.split()
-            hit = np.array([bool(self.hits(w)) for w in words], bool) & bool(y)
+            marked = {}
+            for k, w in enumerate(words):
+                if w not in hits:
+                    if len(hits) > 200_000:
+                        hits.clear()
+                    hits[w] = self.hits(w)
+                if hits[w]:
+                    marked[k] = hits[w]
             for a in range(0, len(words), window):
-                if hit[a : a + window].any() or a == 0:
-                    tokens.append(words[a : a + window])
-                    tags.append(hit[a : a + window])
-        tokens, tags = [t for t in tokens if t], [t for t in tags if len(t)]
-        if not tokens:
+                mine = [k for k in marked if a <= k < a + window] if marked else []
+                if a == 0 or (mine and y):
+                    sizes.append(min(window, len(words) - a))
+                    tags = np.zeros(sizes[-1])
+                    for k in mine:
+                        tags[k - a] = float(y)
+                        where += [at + k - a] * len(marked[k])
+                        which += marked[k]
+                    tag_parts.append(tags)
+                    at += sizes[-1]
+        if not sizes:
             return self
-        where, which, at = [], [], 0
-        for words in tokens:
-            for k, w in enumerate(words):
-                for f in self.hits(w):
-                    where.append(at + k)
-                    which.append(f)
-            at += len(words)
         where, which = np.array(where, int), np.array(which, int)
-        tag = np.concatenate(tags).astype(float)
-        cuts = np.cumsum([len(t) for t in tokens])[:-1]
+        tag = np.concatenate(tag_parts)
+        cuts = np.cumsum(sizes)[:-1]
         seen = np.bincount(which, tag[where], len(self.weight))
         seen[-1] = tag.sum()
         seen_pairs = np.zeros((2, 2))
-        for t in tags:
+        for t in tag_parts:
             np.add.at(seen_pairs, (t[:-1].astype(int), t[1:].astype(int)), 1)
-        seen_first = float(sum(t[0] for t in tags))
+        seen_first = float(sum(t[0] for t in tag_parts))
         params = np.zeros(len(self.weight) + 5)
         params[len(self.weight) - 1] = -3.0
         mean, square = np.zeros_like(params), np.zeros_like(params)
@@ -176,7 +185,7 @@ class Chain:
             expected = np.bincount(which, chance[where], len(self.weight))
             expected[-1] = chance.sum()
             grad = np.concatenate([expected - seen, (pairs - seen_pairs).ravel(), [first - seen_first]])
-            scale = np.sqrt(np.concatenate([np.append(np.bincount(which, minlength=len(self.weight))[:-1], at) + 1.0, np.full(4, at), [len(tokens)]]))
+            scale = np.sqrt(np.concatenate([np.append(np.bincount(which, minlength=len(self.weight))[:-1], at) + 1.0, np.full(4, at), [len(sizes)]]))
             grad = grad / scale + ridge * params
             mean, square = 0.8 * mean + 0.2 * grad, 0.95 * square + 0.05 * grad**2
             params = params - 0.5 * (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-8)
@@ -210,7 +219,8 @@ class Chain:
         return [np.concatenate(p) for p in out]
 
     def summaries(self, texts: list[str]) -> np.ndarray:
-        return self.of_marginals(self.tagged(texts))
+        parts = [self.of_marginals(self.tagged(texts[k : k + 250])) for k in range(0, len(texts), 250)]
+        return np.concatenate(parts) if parts else np.zeros((0, 2))
 
     @staticmethod
     def of_marginals(tagged: list[np.ndarray]) -> np.ndarray:
