@@ -25,6 +25,8 @@ RULES = {
 #: The rules that reject a document by itself.
 BASE = ("short", "repeats")
 SYMBOLS = "#*$%&|<>"
+#: So many rejected hosts are broadcast (a host name has 253 characters at most, so they take 13 MB); more are joined by a shuffle.
+BROADCAST_HOSTS = 50_000
 
 
 def measures(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), host_col: str = "source") -> DataFrame:
@@ -86,11 +88,14 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     table gives an empty result; columns other than ``keep`` are ignored.
     """
     measured = materialize(measures(docs, text_col, keep, host_col), "measures")
-    verdicts = host_verdicts(measured, max_rate).select(F.col("host").alias("verdict_host"), "host_rejected")
+    rejected = host_verdicts(measured, max_rate).where("host_rejected").select(F.col("host").alias("rejected_host"))
+    rejected = materialize(rejected, "hosts")
+    if rejected.count() <= BROADCAST_HOSTS:  # documents then stay where they are, however many one host has
+        rejected = F.broadcast(rejected)
     failed = reduce(lambda a, b: a | b, (F.expr(RULES[name]) for name in BASE))
     return (
-        measured.withColumn("base_failed", failed)
-        .join(verdicts, F.col("host") == F.col("verdict_host"), "left")
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))
-        .drop("verdict_host", "host_rejected")
+        measured.join(rejected, F.col("host") == F.col("rejected_host"), "left")
+        .withColumn("base_failed", failed)
+        .withColumn("kept", ~F.col("base_failed") & F.col("rejected_host").isNull())
+        .drop("rejected_host")
     )

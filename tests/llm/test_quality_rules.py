@@ -25,7 +25,9 @@ def test_measures(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(TEXTS[r.doc_id])
 
 
-def test_hosts(spark):
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_hosts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("likenet.llm.quality_rules.BROADCAST_HOSTS", broadcast)
     good, bad = " ".join(f"w{i}" for i in range(60)), "few words"
     rows = [(i, good, "clean") for i in range(200)] + [(200 + i, good if i % 10 == 0 else bad, "spam") for i in range(200)]
     rows += [(400, bad, "tiny"), (401, good, None), (402, bad, None), (None, good, "clean"), (400, bad, "tiny")]
