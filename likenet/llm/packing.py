@@ -39,7 +39,7 @@ class WordIds:
     normaliser and splitter that they don't need, and are told apart by that mark. Punctuation after such a word is a token run of its own.
     """
 
-    def __init__(self, path: str, remember: int = 300_000, longest: int = 40):
+    def __init__(self, path: str, remember: int = 600_000, longest: int = 40):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
