@@ -5,30 +5,30 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 METHODS = ("mapreduce", "delta", "dfs", "matrix", "pagerank")
-# The option names.
+# The option names, without the application's prefix.
 REQUIRED = {
-    "simrank.graph.data": ("graph_data", str),
-    "simrank.graph.size": ("graph_size", int),
-    "simrank.graphA.size": ("n_a", int),
-    "simrank.graphB.size": ("n_b", int),
-    "simrank.iterations": ("iterations", int),
-    "simrank.partitions": ("partitions", int),
+    "graph.data": ("graph_data", str),
+    "graph.size": ("graph_size", int),
+    "graphA.size": ("n_a", int),
+    "graphB.size": ("n_b", int),
+    "iterations": ("iterations", int),
+    "partitions": ("partitions", int),
 }
 EXTRA = {
-    "simrank.impl.type": ("method", str),
-    "simrank.initSimMatPath": ("similarity_path", str),
-    "simrank.diagSimMatPath": ("identity_path", str),
-    "simrank.delta.epsilon": ("epsilon", float),
-    "simrank.matrix.graphPartitions": ("slices", int),
-    "simrank.matrix.useExternalCombine": ("external", lambda x: x.strip().lower() == "true"),
+    "impl.type": ("method", str),
+    "initSimMatPath": ("similarity_path", str),
+    "diagSimMatPath": ("identity_path", str),
+    "delta.epsilon": ("epsilon", float),
+    "matrix.graphPartitions": ("slices", int),
+    "matrix.useExternalCombine": ("external", lambda x: x.strip().lower() == "true"),
 }
 #: Options that a method can't do without.
 OF_METHOD = {
-    "mapreduce": ("simrank.initSimMatPath", "simrank.diagSimMatPath"),
-    "delta": ("simrank.initSimMatPath", "simrank.delta.epsilon"),
-    "dfs": ("simrank.initSimMatPath",),
-    "matrix": ("simrank.initSimMatPath", "simrank.matrix.graphPartitions"),
-    "pagerank": ("simrank.initSimMatPath",),
+    "mapreduce": ("initSimMatPath", "diagSimMatPath"),
+    "delta": ("initSimMatPath", "delta.epsilon"),
+    "dfs": ("initSimMatPath",),
+    "matrix": ("initSimMatPath", "matrix.graphPartitions"),
+    "pagerank": ("initSimMatPath",),
 }
 
 
@@ -52,7 +52,7 @@ class Options:
         if self.method is not None and self.method not in METHODS:
             raise ValueError(f"no such method: {self.method}")
         if self.slices < 2:
-            raise ValueError("simrank.matrix.graphPartitions must be over 1")
+            raise ValueError("matrix.graphPartitions must be over 1")
 
 
 def read_properties(text: str) -> dict[str, str]:
@@ -66,10 +66,11 @@ def read_properties(text: str) -> dict[str, str]:
 
 
 def options(properties: dict[str, str]) -> Options:
-    """A missing required key raises OSError."""
-    method = properties.get("simrank.impl.type")
+    """Keys may carry any prefix of one word (``x.graph.data``); unknown ones are passed over. A missing required key raises OSError."""
+    known = REQUIRED | EXTRA
+    properties = {name: v for k, v in properties.items() for name in (k, k.partition(".")[2]) if name in known}
+    method = properties.get("impl.type")
     for key in (*REQUIRED, *OF_METHOD.get(method, ())):
         if key not in properties:
             raise OSError(f"{key} should be set")
-    known = REQUIRED | EXTRA
-    return Options(**{known[k][0]: known[k][1](v) for k, v in properties.items() if k in known})
+    return Options(**{known[k][0]: known[k][1](v) for k, v in properties.items()})

@@ -7,7 +7,7 @@ from likenet.plans.options import Options, options, read_properties
 from likenet.sources import cells, prepare, shared
 
 BASE = {
-    "simrank.graph.data": "g", "simrank.graph.size": "7", "simrank.graphA.size": "3", "simrank.graphB.size": "4", "simrank.iterations": "2", "simrank.partitions": "2",
+    "app.graph.data": "g", "app.graph.size": "7", "app.graphA.size": "3", "app.graphB.size": "4", "app.iterations": "2", "app.partitions": "2",
 }
 
 
@@ -71,17 +71,17 @@ def test_columns_and_partition_numbers(spark):
 
 
 def test_options():
-    text = "# comment\nsimrank.impl.type = matrix\n" + "\n".join(f"{k}={v}" for k, v in BASE.items()) + "\nsimrank.initSimMatPath: s\nsimrank.matrix.graphPartitions=3\n"
+    text = "# comment\napp.impl.type = matrix\n" + "\n".join(f"{k}={v}" for k, v in BASE.items()) + "\napp.initSimMatPath: s\napp.matrix.graphPartitions=3\n"
     opts = options(read_properties(text))
     assert (opts.method, opts.n_a, opts.slices, opts.similarity_path) == ("matrix", 3, 3, "s")
-    with pytest.raises(OSError, match="simrank.iterations should be set"):
-        options({k: v for k, v in BASE.items() if k != "simrank.iterations"})
+    with pytest.raises(OSError, match="iterations should be set"):
+        options({k: v for k, v in BASE.items() if k != "app.iterations"})
     with pytest.raises(OSError, match="initSimMatPath should be set"):
-        options(BASE | {"simrank.impl.type": "dfs"})
+        options(BASE | {"app.impl.type": "dfs"})
     with pytest.raises(ValueError, match="over 1"):
-        options(BASE | {"simrank.matrix.graphPartitions": "1"})
+        options(BASE | {"app.matrix.graphPartitions": "1"})
     with pytest.raises(ValueError, match="no such method"):
-        options(BASE | {"simrank.impl.type": "x"})
+        options(BASE | {"app.impl.type": "x"})
 
 
 def test_a_run_from_files(spark, tmp_path):
