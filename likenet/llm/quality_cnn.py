@@ -140,15 +140,20 @@ class ByteNetwork:
         loss = float(-np.mean(np.log(np.where(labels > 0, p, 1 - p) + 1e-9)))
         return [g_vectors, g_kernel, g_bias, g_out, g_offset], loss
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, most_chunks: int = 6, seed: int = 2) -> "ByteNetwork":
-        """In training, of a text with over ``most_chunks`` chunks so many are drawn anew in each epoch."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, most_chunks: int = 6, seed: int = 2, least_steps: int = 360) -> "ByteNetwork":
+        """In training, of a text with over ``most_chunks`` chunks so many are drawn anew in each epoch.
+
+        Of few texts there are more epochs, for ``least_steps`` steps in all.
+        """
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return self
         rng = np.random.default_rng(seed)
         cut = [chunk_texts([t])[0] for t in texts]
         mean, square = ([np.zeros_like(p) for p in self._parts()] for _ in range(2))
-        steps, total = 0, epochs * -(-len(texts) // batch)
+        per_epoch = -(-len(texts) // batch)
+        epochs = max(epochs, -(-least_steps // per_epoch))
+        steps, total = 0, epochs * per_epoch
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for k in range(0, len(order), batch):
