@@ -44,7 +44,7 @@ def features(word: str) -> list[str]:
 def markers(texts: list[str], labels: np.ndarray, precision: float = 0.85) -> list[str]:
     """Features of which toxic documents make up at least ``precision`` of the documents that have them.
 
-    They must be in enough toxic documents that, were labels dealt at random, a tenth of one feature would be expected to pass. Copies
+    They must be in enough toxic documents that, were labels dealt at random, ten features would be expected to pass. Copies
     mustn't make up the number, so documents count once for each least hash of their tokens, which near copies mostly share.
     """
 
@@ -57,7 +57,7 @@ def markers(texts: list[str], labels: np.ndarray, precision: float = 0.85) -> li
             kind = min(xxhash.xxh3_64_intdigest(normal(w)) for w in text.split())
             for f in of(text):
                 kinds.setdefault(f, set()).add(kind)
-    least = max(2, np.ceil(np.log(0.1 / max(1, len(kinds))) / np.log(np.clip(labels.mean(), 0.01, 0.9))))
+    least = max(2, np.ceil(np.log(10 / max(1, len(kinds))) / np.log(np.clip(labels.mean(), 0.01, 0.9))))
     likely = {f for f, k in kinds.items() if len(k) >= least}
     del kinds
     toxic, clean = Counter(), Counter()
