@@ -3,7 +3,7 @@
 The vocabulary lies in two tries: pieces that begin a word and pieces that continue one. A node from which
 no edge leads on has a failure link: the node reached after the pieces that greedy longest-match would have cut off by
 then. Only how many pieces that link pops is kept, so a word is counted in time linear in its bytes and no piece is ever built.
-A word that can't be cut into pieces counts as one unknown token.
+A word that can't be cut into pieces counts as one unknown token. A byte-level vocabulary leaves none: see ``pieces_of_ranks``.
 """
 
 from __future__ import annotations
@@ -96,10 +96,17 @@ class LongestMatch:
 
 
 def pieces_of_ranks(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Word pieces from a byte-level vocabulary: what follows a leading blank begins a word, the rest continues one."""
+    """Word pieces from a byte-level vocabulary: those that begin a word, and those that continue one.
+
+    What follows a leading blank in the vocabulary begins a word. A word that none of these begins (in scripts that the vocabulary knows
+    without a blank only) begins with a following piece: so one that has no beginning piece as its own beginning is among both.
+    Every byte is a following piece, and every word can be cut.
+    """
     vocabulary = read_ranks(path)
-    initial = [t[1:] for t in vocabulary if t[:1] == b" " and len(t) > 1]
-    return initial, [t for t in vocabulary if len(t.split()) == 1 and len(t.split()[0]) == len(t)]
+    initial = {t[1:] for t in vocabulary if t[:1] == b" " and len(t.split()) == 1 and len(t.split()[0]) == len(t) - 1}
+    following = [t for t in vocabulary if len(t.split()) == 1 and len(t.split()[0]) == len(t)]
+    also = [t for t in following if not any(t[:k] in initial for k in range(1, len(t) + 1))]
+    return [*initial, *also], following
 
 
 def automaton(path: str) -> LongestMatch:
@@ -111,8 +118,9 @@ def automaton(path: str) -> LongestMatch:
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown of every whole text.
 
-    One row per row of the input, repeated ones and null identifiers too. Null and empty texts have no words and no tokens. A
-    word of any length is counted whole. An empty table gives an empty result; other columns are ignored.
+    One row per row of the input, repeated ones and null identifiers too; a count depends on its own text alone, so nothing can tie.
+    Null and empty texts have no words and no tokens. A word of any length is counted whole. An empty table gives an empty result;
+    other columns are ignored, whatever they are called.
     """
     small_batches(docs.sparkSession, 1000)
 
