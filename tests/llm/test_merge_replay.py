@@ -1,15 +1,14 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
 import tiktoken
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from likenet.llm.merge_replay import MergeReplay, encode, read_ranks
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-TEXTS = ["", None, "Hello  world's  \n\n end ", "aaaaaaaaaaaaaaaa" * 3, "héß 東京 🎉🏽 ½  x", "ab" * 20_000, "word " * 5000, "Hello  world's  \n\n end "]
+TEXTS = ["", None, "Hello  world's  \n\n end ", "aaaaaaaaaaaaaaaa" * 3, "héß 本 🎉🏽 ½  x", "ab" * 20_000, "word " * 5000, "Hello  world's  \n\n end "]
 
 
 @pytest.fixture(scope="module")
@@ -38,12 +37,15 @@ def test_empty_table(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN).collect() == []
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aeinorst -'"), st.characters(exclude_categories=["Cs"]))), max_size=5))
-def test_replay(bpe, wanted, texts):
-    for text, (n, ids, data) in zip(texts, bpe.texts(texts), strict=True):
-        assert list(map(int, ids.split())) == wanted.encode_ordinary(text)
-        assert data == text.encode() and n == len(ids.split())
+def test_replay(bpe, wanted):
+    rng = random.Random(8)
+    blocks = [(0x20, 0x7F), (0xA0, 0x17F), (0x370, 0x3FF), (0x4E00, 0x4E80), (0x1F300, 0x1F380), (0, 0x20), (0x300, 0x330)]
+    any_character = lambda: chr(rng.randrange(*rng.choice(blocks)))
+    for _ in range(300):
+        texts = ["".join(rng.choice("aeinorst -'") if rng.random() < 0.7 else any_character() for _ in range(rng.randint(0, 40))) for _ in range(3)]
+        for text, (n, ids, data) in zip(texts, bpe.texts(texts), strict=True):
+            assert list(map(int, ids.split())) == wanted.encode_ordinary(text)
+            assert data == text.encode() and n == len(ids.split())
 
 
 def test_a_merge_that_opens_a_lower_rank():
