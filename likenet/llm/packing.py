@@ -6,15 +6,16 @@ the sum of squares of ``N(1) .. N(capacity - 1)`` least: into a window of level
 ``2 (N(h+s) - N(h)) + 2`` (or ``1 - 2 N(h)`` if it fills the window), or into a new one, by ``2 N(s) + 1``.
 A document longer than a window first fills whole windows of its own; its rest is placed by the rule.
 
-Every partition packs by itself, so there is no shuffle. When its input ends (or ``max_open`` windows are
-open, which bounds memory), what lies in windows that are not full is cut at window borders and closes up: all but
-the last ``r < capacity`` ids fill whole windows, and the rest goes to windows whose lengths are powers of two.
+Every partition packs by itself, so there is no shuffle. At the end of a run (a partition's input, or ``run_ids`` ids held in
+windows that aren't full, which bounds memory) the windows that are still open hold enough ids to fill the fullest of them. Those stay as the rule
+filled them; the pieces of the others are placed again by the same rule, whole where a window takes them, and a
+piece that none takes is cut to fill the window with the most room. What is left, less than a window, goes to windows whose
+lengths are powers of two. So no sequence needs padding, and only what fills gaps is moved.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from string import punctuation
 
@@ -43,7 +44,8 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Special tokens are found before anything is lower-cased.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         mark = self.tokenizer.model.end_of_word_suffix
@@ -80,7 +82,7 @@ class WordIds:
         self.known.update((w, self.known[core] + self.known[tail]) for w, (core, tail) in split.items())
 
     def __call__(self, texts: list[str], end_id: int | None) -> list[bytes]:
-        split = [blank_split(_lower(t)) for t in texts]
+        split = [blank_split(t if any(x in t for x in self.special) else _lower(t)) for t in texts]
         if len(self.known) > self.remember:
             self.known, self.old = {}, self.known
         missing = list(set().union(*split).difference(self.known))
@@ -137,13 +139,14 @@ class SumOfSquares:
     A piece is (doc, start, ids as bytes, document's ids, sequence, offset).
     """
 
-    def __init__(self, capacity: int, first_sequence: int, max_open: int = 2048):
+    def __init__(self, capacity: int, first_sequence: int, run_ids: int = 1 << 24):
         if capacity < 1 or capacity & (capacity - 1):
             raise ValueError("capacity must be a power of two")
-        self.capacity, self.next, self.max_open = capacity, first_sequence, max_open
+        self.capacity, self.next, self.run_ids = capacity, first_sequence, run_ids
         self.levels = np.zeros(capacity + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(capacity + 1)]
-        self.n_open = 0
+        self.held = 0  # ids in open windows
+        self.moved = 0  # ids that a window gave up at the end of a run
 
     def _new(self) -> int:
         self.next += 1
@@ -154,27 +157,29 @@ class SumOfSquares:
         while total - at >= self.capacity:
             done.append((doc, at, ids[4 * at : 4 * (at + self.capacity)], total, self._new(), 0))
             at += self.capacity
-        size = total - at
-        if not size:
-            return done
-        piece = (doc, at, ids[4 * at :], total)
-        level = self._choose(size)
-        window = self.open[level].pop() if level else []
-        if level:
-            self.levels[level] -= 1
-            self.n_open -= 1
-        window.append(piece)
-        if level + size == self.capacity:
-            return done + self._number(window)
-        self.open[level + size].append(window)
-        self.levels[level + size] += 1
-        self.n_open += 1
-        if self.n_open > self.max_open:
-            done += self.close(last=False)
+        if at < total:
+            size = total - at
+            self.held += size
+            done += self._put((doc, at, ids[4 * at :], total), self._choose(size))
+            if self.held > self.run_ids:
+                done += self.close()
         return done
 
-    def _choose(self, size: int) -> int:
-        """The level of the window that takes ``size`` ids; 0 for a new one."""
+    def _put(self, piece: tuple, level: int) -> list[tuple]:
+        """The piece into a window of this level (0: a new one); the window's pieces if that fills it."""
+        window = self.open[level].pop() if level else []
+        self.levels[level] -= level > 0
+        window.append(piece)
+        level += len(piece[2]) // 4
+        if level == self.capacity:
+            self.held -= level
+            return self._number(window)
+        self.open[level].append(window)
+        self.levels[level] += 1
+        return []
+
+    def _choose(self, size: int, may_open: bool = True) -> int:
+        """The level of the window that takes ``size`` ids; 0 for a new one, or none."""
         n, cap = self.levels, self.capacity
         change = np.where(n[1 : cap - size + 1] > 0, 2 * (n[size + 1 : cap + 1] - n[1 : cap - size + 1]) + 2, 1 << 60)
         if n[cap - size]:
@@ -183,7 +188,7 @@ class SumOfSquares:
             return 0
         # Of equal changes the fullest window is taken, and a new one only if that is strictly better.
         best = len(change) - 1 - int(np.argmin(change[::-1]))
-        return best + 1 if change[best] <= 2 * n[size] + 1 else 0
+        return best + 1 if change[best] <= (2 * n[size] + 1 if may_open else 1 << 59) else 0
 
     def _number(self, window: list) -> list[tuple]:
         sequence, offset, out = self._new(), 0, []
@@ -192,36 +197,52 @@ class SumOfSquares:
             offset += len(ids) // 4
         return out
 
-    def close(self, last: bool = True) -> list[tuple]:
-        """Close all open windows; without ``last``, one window that isn't full stays open."""
-        queue = deque(p for level in self.open for window in level for p in window)
-        left, done = sum(len(p[2]) // 4 for p in queue), []
-        self.open = [[] for _ in range(self.capacity + 1)]
-        self.levels[:], self.n_open = 0, 0
-
-        def fill(room: int) -> list[tuple]:
-            window = []
-            while room:
-                doc, start, ids, total = queue.popleft()
-                take = min(room, len(ids) // 4)
-                window.append((doc, start, ids[: 4 * take], total))
-                if 4 * take < len(ids):
-                    queue.appendleft((doc, start + take, ids[4 * take :], total))
-                room -= take
-            return window
-
-        while left >= self.capacity:
-            done += self._number(fill(self.capacity))
-            left -= self.capacity
-        while left and last:
+    def close(self) -> list[tuple]:
+        """Fill the fullest open windows with the pieces of the others; what is left goes to windows of powers of two."""
+        room = self.held // self.capacity  # so many windows stay
+        queue: list[tuple] = []
+        for level in range(self.capacity, 0, -1):
+            stay = self.open[level][:room]
+            room -= len(stay)
+            queue += [p for window in self.open[level][len(stay) :] for p in window]
+            self.open[level], self.levels[level] = stay, len(stay)
+        self.moved += sum(len(p[2]) // 4 for p in queue)
+        # Longest pieces first: they are the hardest to place whole.
+        queue.sort(key=lambda p: len(p[2]))
+        done, rest = [], []
+        while queue:
+            piece = queue.pop()
+            level = self._choose(len(piece[2]) // 4, may_open=False)
+            if not level:
+                levels = np.flatnonzero(self.levels)
+                if not len(levels):
+                    rest.append(piece)
+                    continue
+                level = int(levels[0])
+                piece, behind = self._cut(piece, self.capacity - level)
+                queue.append(behind)
+            done += self._put(piece, level)
+        left = sum(len(p[2]) // 4 for p in rest)
+        while left:
             size = 1 << (left.bit_length() - 1)
-            done += self._number(fill(size))
             left -= size
-        if left:
-            self.open[left].append(fill(left))
-            self.levels[left] = self.n_open = 1
+            window = []
+            while size:
+                piece = rest.pop()
+                if len(piece[2]) // 4 > size:
+                    piece, behind = self._cut(piece, size)
+                    rest.append(behind)
+                window.append(piece)
+                size -= len(piece[2]) // 4
+            done += self._number(window)
+        self.held = 0
         return done
 
+    @staticmethod
+    def _cut(piece: tuple, size: int) -> tuple[tuple, tuple]:
+        doc, start, ids, total = piece
+        return (doc, start, ids[: 4 * size], total), (doc, start + size, ids[4 * size :], total)
+
 
 def pack(
     docs: DataFrame,
@@ -230,20 +251,21 @@ def pack(
     end_id: int | None = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_open: int = 2048,
+    run_ids: int = 1 << 24,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
     Null and empty texts hold ``end_id`` only (and give no piece without one). Repeated rows and null
-    identifiers are packed like any other. Long texts are cut. An empty table gives an empty result. Other
-    columns are ignored. A sequence that is shorter than ``capacity`` has a power of two as its length.
+    identifiers are packed like any other; rows are taken as they come, so nothing can tie. A text that is longer than a window is cut. An empty table
+    gives an empty result. Other columns are ignored, whatever they are called. A sequence that is shorter than ``capacity`` has a power of two as its
+    length. Where a text spells a special token of the tokenizer, it gets that token's id.
     """
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer_path)
-        packer = SumOfSquares(capacity, TaskContext.get().partitionId() << 36, max_open)
+        packer = SumOfSquares(capacity, TaskContext.get().partitionId() << 36, run_ids)
 
         def emit(pieces: list[tuple]) -> pa.RecordBatch:
             doc, start, ids, total, sequence, offset = map(list, zip(*pieces, strict=True))

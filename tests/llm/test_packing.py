@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from likenet.llm.packing import PIECE_SCHEMA, SumOfSquares, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", None, "The cat sat.", "  É ü\tΣΑΣ naïve é <|endoftext|> don't's 1234", "word " * 9000, "x" * 50_000, "The cat sat.", "a\nb\r\n\x0bc"]
+TEXTS = ["", None, "The cat sat.", "  É ü\tΣΑΣ naïve é <|endoftext|> don't's 1234", "word " * 9000, "x" * 50_000, "The cat sat.", "a\nb\r\n\x0bc", "UP<|endoftext|>Down <|ENDOFTEXT|> é<|startoftext|>"]
 
 
 @pytest.fixture
@@ -19,7 +19,6 @@ def docs(spark):
 
 def test_each_id_lies_in_one_piece(docs):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     rows = pack(docs, PATH, with_ids=True).collect()
     for i, text in enumerate(TEXTS):
         want = tok.encode(text or "", add_special_tokens=False).ids + [2]
@@ -51,17 +50,24 @@ def test_empty_table(docs):
     assert out.collect() == [] and out.columns == [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
 
 
-@pytest.mark.parametrize("max_open", [0, 3, 10_000])
-def test_rule_against_brute_force(max_open):
+def test_special_tokens(spark):
+    """Spelled in a text they are themselves; in capitals they are not."""
+    docs = spark.createDataFrame([(1, "A <|endoftext|> b"), (2, "A <|ENDOFTEXT|> b")], "doc_id long, text string")
+    rows = sorted(pack(docs, PATH, end_id=None, with_ids=True).collect(), key=lambda r: r.start)
+    ids = {k: [x for r in rows if r.doc_id == k for x in r.ids] for k in (1, 2)}
+    assert 49407 in ids[1] and 49407 not in ids[2] and len(ids[2]) > len(ids[1])
+
+
+@pytest.mark.parametrize("run_ids", [0, 500, 1 << 24])
+def test_rule_against_brute_force(run_ids):
     rng = np.random.default_rng(5)
     cap, sizes = 64, rng.integers(0, 200, 400)
-    packer, done = SumOfSquares(cap, 7, max_open), []
+    packer, done = SumOfSquares(cap, 7, run_ids), []
     for doc, n in enumerate(sizes):
-        before = packer.levels[1:cap].copy()
-        s, full = n % cap, [len(w) for w in packer.open]
-        out = packer.place(doc, np.arange(n, dtype="<u4").tobytes())
-        done += out
-        if s and packer.n_open and max_open > 3 and len(out) == n // cap:
+        before, held = packer.levels[1:cap].copy(), packer.held
+        s = n % cap
+        done += packer.place(doc, np.arange(n, dtype="<u4").tobytes())
+        if s and held + s <= run_ids:
             tried = []
             for h in [0, *np.flatnonzero(before) + 1]:
                 if h + s <= cap:
@@ -69,7 +75,7 @@ def test_rule_against_brute_force(max_open):
                     after[h] -= h > 0
                     after[h + s] += 1
                     tried.append((after[1:cap] ** 2).sum())
-            assert (packer.levels[1:cap] ** 2).sum() == min(tried), full
+            assert (packer.levels[1:cap] ** 2).sum() == min(tried)
     done += packer.close()
     for doc, n in enumerate(sizes):
         mine = sorted((p for p in done if p[0] == doc), key=lambda p: p[1])
@@ -77,4 +83,21 @@ def test_rule_against_brute_force(max_open):
     fills = {}
     for p in done:
         fills[p[4]] = fills.get(p[4], 0) + len(p[2]) // 4
-    assert sum(f < cap for f in fills.values()) <= 6 and all(f & (f - 1) == 0 for f in fills.values())
+    assert all(f & (f - 1) == 0 for f in fills.values())
+    if run_ids == 1 << 24:
+        assert sum(f < cap for f in fills.values()) <= 6 and packer.moved < 0.1 * sizes.sum()
+
+
+def test_most_ids_stay_where_the_rule_put_them():
+    """Document lengths as in prose, in few and in many partitions."""
+    rng = np.random.default_rng(9)
+    sizes = np.minimum(rng.lognormal(6, 1.3, 10_000), 30_000).astype(int) + 1
+    for partitions in (8, 32):
+        moved = 0
+        for part in np.array_split(sizes, partitions):
+            packer = SumOfSquares(4096, 0)
+            for n in part:
+                packer.place(0, bytes(4 * n))
+            packer.close()
+            moved += packer.moved
+        assert moved < 0.1 * sizes.sum()
