@@ -44,7 +44,7 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Special tokens are found before anything is lower-cased.
+        # They are found before the tokenizer lower-cases: a text with one in any case is left as it is.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -82,7 +82,7 @@ class WordIds:
         self.known.update((w, self.known[core] + self.known[tail]) for w, (core, tail) in split.items())
 
     def __call__(self, texts: list[str], end_id: int | None) -> list[bytes]:
-        split = [blank_split(t if any(x in t for x in self.special) else _lower(t)) for t in texts]
+        split = [blank_split(t if any(x in low for x in self.special) else low) for t, low in ((t, _lower(t)) for t in texts)]
         if len(self.known) > self.remember:
             self.known, self.old = {}, self.known
         missing = list(set().union(*split).difference(self.known))
