@@ -1,19 +1,22 @@
 """Toxicity by a linear-chain conditional random field with two tags.
 
 Labels are given for documents, tokens are labelled from them: words and beginnings of words that occur nearly only
-in toxic documents mark a token of such a document; all other tokens are clean. A chain over these tokens
-learns a weight for each marker and for each pair of neighbouring tags by its conditional likelihood, with exact gradients from the
-forward-backward pass. A token that carries markers need not be toxic in the end, and the tags beside it count too.
+in toxic documents mark a token of such a document; all other tokens are clean. A chain over all tokens of the texts
+learns a weight for each marker, for endings, shapes and neighbours that took no part in the labelling, and for each pair of neighbouring tags, by its
+conditional likelihood, with exact gradients from the forward-backward pass. So a token that carries a marker need not be toxic in the end,
+one without any may be, and the tags beside it count too.
 
 A document's score is a logistic function of what the marginals add up to: the expected number of toxic tokens and the greatest
 marginal. Spans are runs of tokens with a marginal of a half or more.
 
 With two tags a message is one ratio, and a step of it contracts, so texts are cut into segments that overlap by
 ``CONTEXT`` tokens on both sides: every token is tagged, and what a cut changes in a marginal is far below rounding of the score.
+For training, texts are cut into windows of ``WINDOW`` tokens, one behind the other: every token of every text is in one.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from string import punctuation
@@ -25,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out_column, small_batches, text_frame
-from .labelled import labelled_sample
+from .labelled import FIT_BYTES, labelled_sample
 
 SEGMENT, CONTEXT = 1024, 64
-PREFIXES = range(3, 9)
+#: Tokens of a sequence in training, and sequences in a block, which bounds memory.
+WINDOW, BLOCK = 256, 2000
+PREFIXES, SUFFIXES = range(3, 9), range(3, 6)
 
 
 def normal(word: str) -> str:
@@ -36,52 +41,134 @@ def normal(word: str) -> str:
     return word.strip(punctuation).lower()
 
 
-def features(word: str) -> list[str]:
+def stems(word: str) -> list[str]:
     """Of a normalised token: itself and its beginnings."""
     return [word, *(f"{word[:k]}*" for k in PREFIXES if k <= len(word))] if word else []
 
 
-def markers(texts: list[str], labels: np.ndarray, precision: float = 0.85) -> list[str]:
-    """Features of which toxic documents make up at least ``precision`` of the documents that have them.
+def shape(token: str) -> str:
+    """Of a token as written: its case, and whether it holds more than letters, or more than letters and digits."""
+    case = "a" if token.islower() else "A" if token.isupper() else "Aa" if token.istitle() else "aA"
+    return f"^{case}" if token.isalpha() else f"^{case}9" if token.isalnum() else f"^{case}."
+
+
+def features(token: str) -> list[str]:
+    """Of a token as written: its stems, endings and shape."""
+    word = normal(token)
+    return [*stems(word), *(f"*{word[-k:]}" for k in SUFFIXES if k < len(word)), shape(token)]
 
-    They must be in enough toxic documents that, were labels dealt at random, ten features would be expected to pass. Copies
-    mustn't make up the number, so documents count once for each least hash of their tokens, which near copies mostly share.
-    """
 
-    def of(text: str) -> set[str]:
-        return {f for w in set(map(normal, text.split())) for f in features(w)}
+def beside(token: str) -> list[str]:
+    """What a token tells about the ones before and behind it."""
+    word = normal(token)
+    return [word, f"{word[:4]}*"] if word else []
 
+
+def markers(texts: list[str], labels: np.ndarray, precision: float = 0.85) -> tuple[list[str], list[str]]:
+    """Stems of which toxic documents make up at least ``precision`` of the documents that have them; and all features that are as frequent.
+
+    They must be in enough toxic documents that, were labels dealt at random, ten stems would be expected to pass. Copies
+    mustn't make up the number, so documents count once for each least hash of their tokens, which near copies mostly share.
+    """
     kinds: dict[str, set[int]] = {}
+    of = _Remembered(features)
     for text, y in zip(texts, labels, strict=True):
         if y and text.strip():
-            kind = min(xxhash.xxh3_64_intdigest(normal(w)) for w in text.split())
-            for f in of(text):
+            words = set(text.split())
+            kind = min(xxhash.xxh3_64_intdigest(normal(w)) for w in words)
+            for f in {f for w in words for f in of(w)}:
                 kinds.setdefault(f, set()).add(kind)
-    least = max(2, np.ceil(np.log(10 / max(1, len(kinds))) / np.log(np.clip(labels.mean(), 0.01, 0.9))))
-    likely = {f for f, k in kinds.items() if len(k) >= least}
+    n_stems = sum(f[0] not in "*^" for f in kinds)
+    least = max(2, np.ceil(np.log(10 / max(1, n_stems)) / np.log(np.clip(labels.mean(), 0.01, 0.9))))
+    frequent = {f for f, k in kinds.items() if len(k) >= least}
     del kinds
+    likely = {f for f in frequent if f[0] not in "*^"}
+    of = _Remembered(lambda w: tuple(f for f in stems(normal(w)) if f in likely))
     toxic, clean = Counter(), Counter()
     for text, y in zip(texts, labels, strict=True):
-        (toxic if y else clean).update(of(text) & likely)
-    return sorted(f for f in likely if toxic[f] >= precision * (toxic[f] + clean[f]))
+        (toxic if y else clean).update({f for w in set(text.split()) for f in of(w)})
+    return sorted(f for f in likely if toxic[f] >= precision * (toxic[f] + clean[f])), sorted(frequent)
+
+
+class _Remembered:
+    """A function of a token, remembered for so many tokens at a time."""
+
+    def __init__(self, function, most: int = 200_000):
+        self.function, self.most, self.known = function, most, {}
+
+    def __call__(self, token: str):
+        found = self.known.get(token)
+        if found is None:
+            found = self.function(token)
+            if len(self.known) >= self.most:
+                self.known.clear()
+            if len(token) <= 40:
+                self.known[token] = found
+        return found
+
+
+class _Incidence:
+    """Which rows (distinct tokens) have which columns (features)."""
+
+    def __init__(self, lists: Iterator[list[int]], columns: int):
+        sizes, cols = array("i"), array("i")
+        for found in lists:
+            sizes.append(len(found))
+            cols.extend(found)
+        self.rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.cols = np.frombuffer(cols, np.int32) if cols else np.zeros(0, np.int32)
+        self.shape = len(sizes), columns
+
+    def of_rows(self, weight: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weight[self.cols], self.shape[0])
+
+    def of_columns(self, value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, value[self.rows], self.shape[1])
+
+
+class _Places:
+    """Where the tokens of sequences lie in a table by time, the longest sequence first."""
+
+    def __init__(self, sizes: list[int]):
+        n = np.asarray(sizes, np.int64)
+        order = np.argsort(-n, kind="stable")
+        column = np.empty(len(n), np.int64)
+        column[order] = np.arange(len(n))
+        steps = int(n.max(initial=0))
+        self.live = np.searchsorted(-n[order], -np.arange(steps), side="left")  # sequences longer than t
+        starts = np.cumsum(n) - n
+        time = np.arange(int(n.sum())) - np.repeat(starts, n)
+        self.flat = time * len(n) + np.repeat(column, n)
+        self.inside = np.arange(len(n)) < self.live[:, None] if steps else np.zeros((0, len(n)), bool)
+
+    def spread(self, field: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.inside.shape, field.dtype)
+        out.ravel()[self.flat] = field
+        return out
+
+    def gather(self, table: np.ndarray) -> np.ndarray:
+        return table.ravel()[self.flat]
 
 
 class Chain:
-    """Two tags. Weights of markers for tag 1 against tag 0, of tag pairs, and of the first tag."""
+    """Two tags. Weights of features for tag 1 against tag 0 (a token's own, its predecessor's, its successor's), of tag pairs, and of the first tag."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, names: list[str], marks: list[str] | None = None):
+        """``marks``: the features that label a token of a toxic document; all stems among the names unless given."""
         self.index = {f: k for k, f in enumerate(names)}
+        self.marks = set(names if marks is None else marks)
         self.weight = np.zeros(len(names) + 1)  # the last is every token's
+        self.behind, self.ahead = np.zeros(len(names)), np.zeros(len(names))  # of the token before, of the one after
         self.pair = np.zeros((2, 2))
         self.begin = 0.0
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[float, float, float]] = {}
         self.final = np.zeros(3)
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def hits(self, word: str) -> list[int]:
-        return [k for f in features(normal(word)) if (k := self.index.get(f)) is not None]
+    def numbers(self, found: list[str]) -> list[int]:
+        return [k for f in found if (k := self.index.get(f)) is not None]
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """The log potential of tag 1 against tag 0 of each token."""
@@ -89,111 +176,84 @@ class Chain:
         for w in words:
             e = known.get(w)
             if e is None:
-                e = float(self.weight[-1] + sum(self.weight[k] for k in self.hits(w)))
+                near = self.numbers(beside(w))
+                e = float(self.weight[-1] + self.weight[self.numbers(features(w))].sum()), float(self.behind[near].sum()), float(self.ahead[near].sum())
                 if len(w) <= 40:
                     if len(known) > 300_000:
                         known.clear()
                     known[w] = e
             out.append(e)
-        return np.array(out)
+        told = np.array(out).reshape(-1, 3)
+        field = told[:, 0].copy()
+        field[1:] += told[:-1, 1]
+        field[:-1] += told[1:, 2]
+        return field
 
     def marginals(self, emissions: list[np.ndarray], pairs: bool = False):
         """The chance of tag 1 for each token of each sequence; with ``pairs``, also expected counts of tag pairs."""
-        n = np.array([len(e) for e in emissions])
-        order = np.argsort(-n, kind="stable")
-        longest = int(n.max(initial=0))
-        field = np.zeros((longest, len(n)))  # by time, longest sequence first
-        for k, i in enumerate(order):
-            field[: n[i], k] = emissions[i]
-        lengths = n[order]
-        live = np.array([np.searchsorted(-lengths, -t, side="left") for t in range(longest)], int)  # sequences longer than t
-        em, t = np.exp(field), np.exp(self.pair)
+        at = _Places([len(e) for e in emissions])
+        field = np.concatenate(emissions) if emissions else np.zeros(0)
+        chance, counts, first = self.passes(at, field, pairs)
+        cuts = np.cumsum([len(e) for e in emissions])[:-1]
+        out = np.split(chance, cuts) if emissions else []
+        return (out, counts, first) if pairs else out
+
+    def passes(self, at: "_Places", field: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None, float]:
+        """Forward and backward over sequences that lie behind each other in ``field``: chances, expected tag pairs, expected first tags."""
+        em, t, live = np.exp(at.spread(field)), np.exp(self.pair), at.live
         ahead, back = np.zeros_like(em), np.ones_like(em)
-        for k in range(longest):
+        steps = len(em)
+        if steps:
+            ahead[0] = em[0] * np.exp(self.begin)
+        for k in range(1, steps):
             m = live[k]
-            if k == 0:
-                ahead[0] = em[0] * np.exp(self.begin)
-            else:
-                r = ahead[k - 1, :m]
-                ahead[k, :m] = em[k, :m] * (t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r)
-        for k in range(longest - 2, -1, -1):
+            r = ahead[k - 1, :m]
+            ahead[k, :m] = em[k, :m] * (t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r)
+        em *= back  # becomes what a token and those behind it say
+        for k in range(steps - 2, -1, -1):
             m = live[k + 1]
-            r = em[k + 1, :m] * back[k + 1, :m]
+            em[k + 1, :m] *= back[k + 1, :m]
+            r = em[k + 1, :m]
             back[k, :m] = (t[1, 0] + t[1, 1] * r) / (t[0, 0] + t[0, 1] * r)
         odds = ahead * back
-        chance = odds / (1 + odds)
-        out: list = [None] * len(n)
-        for k, i in enumerate(order):
-            out[i] = chance[: n[i], k]
+        chance = at.gather(odds / (1 + odds))
         if not pairs:
-            return out
-        counts = np.zeros((2, 2))
-        first = ahead[0] * back[0]
-        for k in range(1, longest):
-            m = live[k]
-            a, b = ahead[k - 1, :m], em[k, :m] * back[k, :m]
-            joint = np.array([[t[0, 0] * np.ones(m), t[0, 1] * b], [t[1, 0] * a, t[1, 1] * a * b]])
-            counts += (joint / joint.sum(axis=(0, 1))).sum(axis=2)
-        return out, counts, (first / (1 + first)).sum() if longest else 0.0
-
-    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 40, ridge: float = 1e-3, window: int = 200) -> "Chain":
-        """Fit the chain on windows of the texts, then the document's logistic function on whole texts."""
-        # Of each window only its length and its markers are kept, not its words.
-        sizes, tag_parts, where, which, at = [], [], [], [], 0
-        hits: dict[str, list[int]] = {}
-        for text, y in zip(texts, labels, strict=True):
-            words = text.split()
-            marked = {}
-            for k, w in enumerate(words):
-                if w not in hits:
-                    if len(hits) > 200_000:
-                        hits.clear()
-                    hits[w] = self.hits(w)
-                if hits[w]:
-                    marked[k] = hits[w]
-            for a in range(0, len(words), window):
-                mine = [k for k in marked if a <= k < a + window] if marked else []
-                if a == 0 or (mine and y):
-                    sizes.append(min(window, len(words) - a))
-                    tags = np.zeros(sizes[-1])
-                    for k in mine:
-                        tags[k - a] = float(y)
-                        where += [at + k - a] * len(marked[k])
-                        which += marked[k]
-                    tag_parts.append(tags)
-                    at += sizes[-1]
-        if not sizes:
+            return chance, None, 0.0
+        first = float((odds[0] / (1 + odds[0])).sum()) if steps else 0.0
+        a, b = ahead[:-1][at.inside[1:]], em[1:][at.inside[1:]]
+        none, second, both = t[0, 0], t[0, 1] * b, t[1, 1] * a * b
+        one = t[1, 0] * a
+        mass = none + second + one + both
+        return chance, np.array([[(none / mass).sum(), (second / mass).sum()], [(one / mass).sum(), (both / mass).sum()]]), first
+
+    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 30, ridge: float = 1e-3) -> "Chain":
+        """Fit the chain on every token of the texts, then the document's logistic function."""
+        sample = Sample(self, texts, labels)
+        if not len(sample.type):
             return self
-        where, which = np.array(where, int), np.array(which, int)
-        tag = np.concatenate(tag_parts)
-        cuts = np.cumsum(sizes)[:-1]
-        seen = np.bincount(which, tag[where], len(self.weight))
-        seen[-1] = tag.sum()
-        seen_pairs = np.zeros((2, 2))
-        for t in tag_parts:
-            np.add.at(seen_pairs, (t[:-1].astype(int), t[1:].astype(int)), 1)
-        seen_first = float(sum(t[0] for t in tag_parts))
-        params = np.zeros(len(self.weight) + 5)
-        params[len(self.weight) - 1] = -3.0
-        mean, square = np.zeros_like(params), np.zeros_like(params)
+        params = np.zeros(sample.size)
+        params[sample.bias] = -3.0
+        mean, square, scale = np.zeros_like(params), np.zeros_like(params), np.sqrt(sample.counts + 1.0)
         for step in range(1, rounds + 1):
-            self.weight, self.pair, self.begin = params[: len(self.weight)], params[-5:-1].reshape(2, 2), params[-1]
-            e = np.full(at, self.weight[-1])
-            np.add.at(e, where, self.weight[which])
-            chance, pairs, first = self.marginals(np.split(e, cuts), pairs=True)
-            chance = np.concatenate(chance)
-            expected = np.bincount(which, chance[where], len(self.weight))
-            expected[-1] = chance.sum()
-            grad = np.concatenate([expected - seen, (pairs - seen_pairs).ravel(), [first - seen_first]])
-            scale = np.sqrt(np.concatenate([np.append(np.bincount(which, minlength=len(self.weight))[:-1], at) + 1.0, np.full(4, at), [len(sizes)]]))
-            grad = grad / scale + ridge * params
+            grad = sample.gradient(params)[0] / scale + ridge * params
             mean, square = 0.8 * mean + 0.2 * grad, 0.95 * square + 0.05 * grad**2
             params = params - 0.5 * (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-8)
-        self.weight, self.pair, self.begin = params[: len(self.weight)].copy(), params[-5:-1].reshape(2, 2).copy(), float(params[-1])
+        sample.put(params)
         self.known = {}
+        del sample
         self._fit_final(self.summaries(texts), labels)
         return self
 
+    def log_mass(self, emissions: list[np.ndarray]) -> float:
+        """The logarithm of the sum over all taggings, added up over sequences."""
+        out = 0.0
+        for e in emissions:
+            a = np.array([0.0, e[0] + self.begin])
+            for x in e[1:]:
+                a = np.logaddexp.reduce(a[:, None] + self.pair, axis=0) + np.array([0.0, x])
+            out += np.logaddexp.reduce(a)
+        return float(out)
+
     def _fit_final(self, x: np.ndarray, y: np.ndarray, rounds: int = 50) -> None:
         """Logistic regression by Newton's method, with a small ridge."""
         x = np.column_stack([np.ones(len(x)), x])
@@ -230,6 +290,73 @@ class Chain:
         return 1 / (1 + np.exp(-(self.final[0] + summaries @ self.final[1:])))
 
 
+class Sample:
+    """Texts to fit a chain on, as numbers: the type of each token, its tag, and the features of each type."""
+
+    def __init__(self, chain: Chain, texts: list[str], labels: np.ndarray, kind=np.float32):
+        self.chain, self.kind, types, parts = chain, kind, {}, []
+        for text in texts:
+            words = text.split()
+            parts.append(np.fromiter((types.setdefault(w, len(types)) for w in words), np.int32, len(words)))
+        self.sizes = [min(WINDOW, len(p) - a) for p in parts for a in range(0, len(p), WINDOW)]
+        lengths = [len(p) for p in parts]
+        self.type = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        starts = np.cumsum(lengths) - lengths
+        first = starts[np.array(lengths) > 0] if parts else []
+        self.inner = np.ones(len(self.type), bool)  # has a token of its text before it
+        self.inner[first] = False
+        n = len(chain.index)
+        self.own = _Incidence((chain.numbers(features(w)) for w in types), n)
+        self.near = _Incidence((chain.numbers(beside(w)) for w in types), n)
+        marked = np.array([any(f in chain.marks for f in stems(normal(w))) for w in types], bool)
+        self.tag = (marked[self.type] & np.repeat(np.asarray(labels) > 0, lengths)).astype(kind) if types else np.zeros(0, kind)
+        # Parameters: own weights, every token's, those of the token before and after, tag pairs, the first tag.
+        self.bias, self.size = n, 3 * n + 6
+        uses = np.bincount(self.type, minlength=len(types)).astype(float)
+        near = self.near.of_columns(uses)
+        self.counts = np.concatenate([self.own.of_columns(uses), [len(self.type)], near, near, np.full(4, len(self.type)), [len(self.sizes)]])
+        # Blocks of sequences: where each begins and ends, its places, and the tag pairs and first tags that were seen.
+        self.blocks, at = [], 0
+        for k in range(0, len(self.sizes), BLOCK):
+            sizes = self.sizes[k : k + BLOCK]
+            tags = self.tag[at : at + sum(sizes)].astype(int)
+            starts = np.cumsum(sizes) - sizes
+            joined = np.ones(len(tags), bool)
+            joined[starts] = False
+            code = (2 * tags[:-1] + tags[1:])[joined[1:]]
+            self.blocks.append((at, at + len(tags), sizes, np.bincount(code, minlength=4).reshape(2, 2), float(tags[starts].sum())))
+            at += len(tags)
+
+    def put(self, params: np.ndarray) -> None:
+        n, c = self.bias, self.chain
+        c.weight, c.behind, c.ahead = params[: n + 1].copy(), params[n + 1 : 2 * n + 1].copy(), params[2 * n + 1 : 3 * n + 1].copy()
+        c.pair, c.begin = params[-5:-1].reshape(2, 2).copy(), float(params[-1])
+
+    def gradient(self, params: np.ndarray, loss: bool = False) -> tuple[np.ndarray, float]:
+        """Of the negative conditional log-likelihood of the tags (and that itself if asked for)."""
+        self.put(params)
+        c, n, kinds = self.chain, self.bias, self.own.shape[0]
+        lend, borrow = self.near.of_rows(c.behind), self.near.of_rows(c.ahead)
+        lend, borrow = lend.astype(self.kind), borrow.astype(self.kind)
+        field = (self.own.of_rows(c.weight[:-1]) + c.weight[-1]).astype(self.kind)[self.type]
+        field[1:] += lend[self.type[:-1]] * self.inner[1:]
+        field[:-1] += borrow[self.type[1:]] * self.inner[1:]
+        gap, pairs, first, total = np.empty_like(field), np.zeros((2, 2)), 0.0, 0.0
+        for low, high, sizes, seen, opened in self.blocks:
+            part, tag = field[low:high], self.tag[low:high]
+            chance, expected, begun = c.passes(_Places(sizes), part)
+            gap[low:high] = chance - tag
+            pairs += expected - seen
+            first += begun - opened
+            if loss:
+                total += c.log_mass(np.split(part, np.cumsum(sizes)[:-1])) - (part * tag).sum() - (seen * c.pair).sum() - opened * c.begin
+        own = self.own.of_columns(np.bincount(self.type, gap, kinds))
+        inner = self.inner[1:]
+        behind = self.near.of_columns(np.bincount(self.type[:-1], gap[1:] * inner, kinds))
+        ahead = self.near.of_columns(np.bincount(self.type[1:], gap[:-1] * inner, kinds))
+        return np.concatenate([own, [gap.sum()], behind, ahead, pairs.ravel(), [first]]), total
+
+
 def spans(text: str, chances: np.ndarray, least: float = 0.5) -> list[tuple[int, int]]:
     """Character spans of the runs of toxic tokens."""
     out, at, before = [], 0, False
@@ -242,24 +369,25 @@ def spans(text: str, chances: np.ndarray, least: float = 0.5) -> list[tuple[int,
     return out
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_rows: int = 8000) -> Chain | float:
+def fit_chain(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_rows: int = 8000, fit_bytes: int = FIT_BYTES) -> Chain | float:
     """A fitted chain; with labels of one kind only (or none) the constant score to give."""
-    texts, y = labelled_sample(docs, labels, label_col, fit_rows)
+    texts, y = labelled_sample(docs, labels, label_col, fit_rows, fit_bytes)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.0
-    return Chain(markers(texts, y)).fit(texts, y)
+    marks, names = markers(texts, y)
+    return Chain(names, marks).fit(texts, y)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.7, fit_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.7, fit_rows: int = 8000, fit_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted and spans (character offsets of what was tagged), one row per row of ``docs``.
 
-    The chain is fitted on at most ``fit_rows`` labelled rows that aren't held out. Null text counts as empty; an empty text has no toxic token
-    and gets the score of that. Repeated rows are scored alike; a row without identifier is scored and isn't held out. Texts of any length are tagged
-    whole. Without labels every score is 0, with labels of one kind only it is that kind. An empty table gives an empty result. Only
+    The chain is fitted on all of at most ``fit_rows`` labelled texts that aren't held out, of ``fit_bytes`` bytes at most. Null text counts as empty; an empty text has no toxic token
+    and gets the score of that. Repeated rows are scored alike; a row without identifier is scored and isn't held out; nothing else
+    can tie. Texts of any length are tagged whole. Without labels every score is 0, with labels of one kind only it is that kind. An empty table gives an empty result. Only
     the text is looked at; other columns are ignored.
     """
     small_batches(docs.sparkSession, 1000)
-    chain = fit_chain(docs, labels, label_col, fit_rows)
+    chain = fit_chain(docs, labels, label_col, fit_rows, fit_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
-from likenet.llm.toxic_spans import CONTEXT, SEGMENT, Chain, markers, spans, toxicity
+from likenet.llm.labelled import labelled_sample
+from likenet.llm.toxic_spans import CONTEXT, SEGMENT, WINDOW, Chain, Sample, markers, spans, toxicity
 
 
 def sample(n, seed=0):
@@ -54,8 +55,64 @@ def test_segments_make_no_difference():
 
 def test_markers_are_stems_of_toxic_words():
     rows = sample(600)
-    found = markers([r[1] for r in rows], np.array([r[2] for r in rows]))
-    assert {"vile", "foul*"} <= set(found) and not any(f.startswith("w1") for f in found)
+    found, frequent = markers([r[1] for r in rows], np.array([r[2] for r in rows]))
+    assert {"vile", "foul*"} <= set(found) <= set(frequent) and not any(f.startswith("w1") for f in found)
+    assert "^a" in frequent and any(f[0] == "*" for f in frequent)
+
+
+def small_sample(kind=np.float64):
+    """Texts of one and of several windows, with marked tokens far behind in both kinds of documents."""
+    texts = ["x bad y worse", "", "Bad", "x y " * (WINDOW // 2) + "z bad worse", "q " * (2 * WINDOW + 5) + "bad end", "worse worse Odd-one 9"]
+    names = ["bad", "worse", "wor*", "*rse", "^A", "^aA.", "x", "q", "x*"]
+    return Sample(Chain(names, ["bad", "worse"]), texts, np.array([1, 0, 1, 1, 0, 1]), kind), texts
+
+
+def test_training_sees_every_token():
+    s, texts = small_sample()
+    words = [w for t in texts for w in t.split()]
+    assert sum(s.sizes) == len(s.type) == len(words) and s.counts[s.bias] == len(words)
+    # A marked token is toxic in a toxic document, however far behind it is, and clean in a clean one.
+    want = [float(y and w.lower() in ("bad", "worse")) for t, y in zip(texts, [1, 0, 1, 1, 0, 1]) for w in t.split()]
+    assert s.tag.tolist() == want and s.tag[s.type == s.type[1]].sum() == 2
+
+
+def test_gradient_against_differences():
+    s, _ = small_sample()
+    rng = np.random.default_rng(3)
+    params = rng.normal(0, 0.5, s.size)
+    grad, _ = s.gradient(params)
+    for k in range(s.size):
+        step = np.zeros(s.size)
+        step[k] = 1e-5
+        slope = (s.gradient(params + step, loss=True)[1] - s.gradient(params - step, loss=True)[1]) / 2e-5
+        assert abs(slope - grad[k]) < 1e-4, k
+    coarse, _ = small_sample(np.float32)
+    assert np.allclose(coarse.gradient(params)[0], grad, rtol=1e-3, atol=1e-3)
+
+
+def test_emissions_of_a_text_are_those_of_training():
+    s, texts = small_sample()
+    params = np.random.default_rng(4).normal(0, 0.5, s.size)
+    s.put(params)
+    e = np.concatenate([s.chain.emissions(t.split()) for t in texts])
+    c = s.chain
+    lend, borrow = s.near.of_rows(c.behind), s.near.of_rows(c.ahead)
+    field = (s.own.of_rows(c.weight[:-1]) + c.weight[-1])[s.type]
+    field[1:] += lend[s.type[:-1]] * s.inner[1:]
+    field[:-1] += borrow[s.type[1:]] * s.inner[1:]
+    assert np.allclose(e, field)
+
+
+def test_sample_is_bounded(spark):
+    twice = next(i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = spark.createDataFrame([(i, "x" * (10 * i), "?") for i in range(40)] + [(twice, "a", "?"), (None, "n", "?")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(5, None), (None, 1)], "doc_id long, toxic int")
+    held = {i for i in range(40) if zlib.crc32(str(i).encode()) % 3 == 1}
+    texts, y = labelled_sample(docs, labels, "toxic", 1000)
+    assert len(texts) == 40 - len(held) and "a" in texts and set(y.tolist()) == {0, 1}
+    texts, _ = labelled_sample(docs, labels, "toxic", 1000, most_bytes=500)
+    assert 0 < sum(map(len, texts)) <= 500
+    assert len(labelled_sample(docs, labels, "toxic", 7)[0]) == 7
 
 
 def test_held_out_accuracy_and_spans(spark):
