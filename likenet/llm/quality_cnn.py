@@ -5,7 +5,7 @@ more input says whether the last bytes repeat those a few places earlier; learne
 greatest response in the chunk is kept. The greatest and the mean of these over all chunks of the document are combined into
 one probability.
 
-Training is plain back-propagation with Adam; through a maximum only the place that won gets a gradient.
+Training is plain back-propagation with Adam over every chunk of the sample's texts; through a maximum only the place that won gets a gradient.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bodies, held_out_column, small_batches, text_frame
-from .labelled import labelled_sample
+from .labelled import FIT_BYTES, labelled_sample
 
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE = 8, 2
@@ -90,6 +90,9 @@ class ByteNetwork:
             best[k : k + at_once] = response.max(axis=1)
         return np.maximum(best + self.bias, 0), place
 
+    def _seen(self, chunks, seen, chunk, window) -> np.ndarray:
+        return np.concatenate([self.vectors[seen], echoes(chunks)[chunk[:, None], window][:, :, None].astype(np.float32)], axis=2)
+
     def _combine(self, pooled: np.ndarray, counts: np.ndarray):
         first = np.cumsum(counts) - counts
         top = np.maximum.reduceat(pooled, first, axis=0)
@@ -123,33 +126,31 @@ class ByteNetwork:
         ties = np.add.reduceat(winners, np.cumsum(counts) - counts, axis=0, dtype=np.float32)
         g_pool = back[of, self.filters :] / counts[of, None] + winners * back[of, : self.filters] / ties[of]
         g_pool = (g_pool * (pooled > 0)).astype(np.float32)
-        chunk, which = np.nonzero(g_pool)
-        g = g_pool[chunk, which]
-        begin = place[chunk, which] * STRIDE
-        window = begin[:, None] + np.arange(WIDTH)
-        seen = chunks[chunk[:, None], window]
-        x = np.concatenate([self.vectors[seen], echoes(chunks)[chunk[:, None], window][:, :, None].astype(np.float32)], axis=2)
-        g_kernel = np.zeros_like(self.kernel)
-        for f in range(self.filters):
-            mine = which == f
-            g_kernel[:, f] = x[mine].reshape(-1, WIDTH * self.channels).T @ g[mine]
-        g_bias = np.bincount(which, g, self.filters).astype(np.float32)
-        g_x = (g[:, None] * self.kernel[:, which].T).reshape(-1, WIDTH, self.channels)[:, :, :-1]
-        g_vectors = np.zeros_like(self.vectors)
-        np.add.at(g_vectors, seen.ravel(), g_x.reshape(-1, self.channels - 1))
+        g_kernel, g_vectors, g_bias = np.zeros_like(self.kernel), np.zeros_like(self.vectors), np.zeros_like(self.bias)
+        for k in range(0, len(chunks), 1024):  # so many chunks at once, for a text may have any number of them
+            part, weights = chunks[k : k + 1024], g_pool[k : k + 1024]
+            chunk, which = np.nonzero(weights)
+            g = weights[chunk, which]
+            window = (place[k : k + 1024][chunk, which] * STRIDE)[:, None] + np.arange(WIDTH)
+            seen = part[chunk[:, None], window]
+            x = self._seen(part, seen, chunk, window)
+            for f in range(self.filters):
+                mine = which == f
+                g_kernel[:, f] += x[mine].reshape(-1, WIDTH * self.channels).T @ g[mine]
+            g_bias += np.bincount(which, g, self.filters).astype(np.float32)
+            g_x = (g[:, None] * self.kernel[:, which].T).reshape(-1, WIDTH, self.channels)[:, :, : self.vectors.shape[1]]
+            letter, width = seen.ravel(), self.vectors.shape[1]
+            for c in range(width):
+                g_vectors[:, c] += np.bincount(letter, g_x[:, :, c].ravel(), 256)
         loss = float(-np.mean(np.log(np.where(labels > 0, p, 1 - p) + 1e-9)))
         return [g_vectors, g_kernel, g_bias, g_out, g_offset], loss
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, most_chunks: int = 6, seed: int = 2, least_steps: int = 360) -> "ByteNetwork":
-        """In training, of a text with over ``most_chunks`` chunks so many are drawn anew in each epoch.
-
-        Of few texts there are more epochs, for ``least_steps`` steps in all.
-        """
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 2, least_steps: int = 360) -> "ByteNetwork":
+        """Every epoch goes over every chunk of every text. Of few texts there are more epochs, for ``least_steps`` steps in all."""
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return self
         rng = np.random.default_rng(seed)
-        cut = [chunk_texts([t])[0] for t in texts]
         mean, square = ([np.zeros_like(p) for p in self._parts()] for _ in range(2))
         per_epoch = -(-len(texts) // batch)
         epochs = max(epochs, -(-least_steps // per_epoch))
@@ -158,8 +159,7 @@ class ByteNetwork:
             order = rng.permutation(len(texts))
             for k in range(0, len(order), batch):
                 rows = order[k : k + batch]
-                parts = [c if len(c) <= most_chunks else c[rng.choice(len(c), most_chunks, replace=False)] for c in (cut[i] for i in rows)]
-                grads, _ = self.gradients(np.concatenate(parts), np.array([len(p) for p in parts]), labels[rows])
+                grads, _ = self.gradients(*chunk_texts([texts[i] for i in rows]), labels[rows])
                 steps += 1
                 now = rate * (1 - 0.9 * steps / total)
                 for part, grad, m, v in zip(self._parts(), grads, mean, square, strict=True):
@@ -169,16 +169,16 @@ class ByteNetwork:
         return self
 
 
-def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.5, fit_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.5, fit_rows: int = 3000, fit_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted, one row per row of ``docs``.
 
-    The network is fitted on at most ``fit_rows`` labelled rows that aren't held out. Null text counts as empty: one chunk of zeros, with the score that
-    gives. Repeated rows are scored alike; a row without identifier is scored and isn't held out. Texts of any length are scored whole.
+    The network is fitted on all of at most ``fit_rows`` labelled texts that aren't held out, of ``fit_bytes`` bytes at most. Null text counts as empty: one chunk of zeros, with the score that
+    gives. Repeated rows are scored alike; a row without identifier is scored and isn't held out; nothing else can tie. Texts of any length are scored whole.
     Without labels every score is 0.5, with labels of one kind only it is that kind. An empty table gives an empty result.
     Only the text is looked at; other columns are ignored.
     """
     small_batches(docs.sparkSession, 1000)
-    texts, y = labelled_sample(docs, labels, label_col, fit_rows)
+    texts, y = labelled_sample(docs, labels, label_col, fit_rows, fit_bytes)
     network = ByteNetwork().fit([t.encode() for t in texts], y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,21 @@ def test_gradients_against_differences():
             assert abs((up - down) / 2e-3 - grad[k]) < 2e-3
 
 
+def test_training_takes_every_chunk(monkeypatch):
+    """What each step gets are whole texts, long ones too; and chunks in blocks give the gradients of all at once."""
+    seen = []
+    net = ByteNetwork(filters=2, vector=2)
+    real = net.gradients
+    monkeypatch.setattr(net, "gradients", lambda chunks, counts, labels: seen.append((len(chunks), counts.sum())) or real(chunks, counts, labels))
+    texts = [b"long " * 4000, b"short", b"", b"x" * 9000]
+    net.fit(texts, np.array([1, 0, 0, 1]), epochs=2, batch=2, least_steps=1)
+    assert sum(n for n, _ in seen) == 2 * len(chunk_texts(texts)[0]) and all(n == m for n, m in seen)
+    long = np.random.default_rng(1).integers(1, 255, 1500 * (CHUNK - OVERLAP)).astype(np.uint8).tobytes()
+    chunks, counts = chunk_texts([long, b"other"])
+    grads, _ = net.gradients(chunks, counts, np.array([1, 0]))
+    assert len(chunks) > 1024 and all(np.isfinite(g).all() for g in grads) and abs(grads[1]).sum() > 0
+
+
 def sample(n):
     rng, rows = random.Random(5), []
     for i in range(n):
