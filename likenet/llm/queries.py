@@ -98,17 +98,18 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {LOWER} AS t FROM documents)
     """,
-    "op7_perspectives": """
+    "op7_perspectives": r"""
         WITH base AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations),
         who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM base WHERE speaker <> 'system'),
         seen AS (
             SELECT b.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
             FROM base b JOIN who w ON b.conv_id IS NOT DISTINCT FROM w.conv_id
         ),
-        headed AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM seen),
-        said AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM headed),
+        named AS (SELECT *, translate(replace(speaker, '<|im_', '<\|im_'), chr(10) || chr(13), '  ') AS name FROM seen),
+        headed AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || name ELSE '' END || chr(10) AS head FROM named),
+        said AS (SELECT *, head || replace(body, '<|im_', '<\|im_') || '<|im_end|>' || chr(10) AS segment FROM headed),
         placed AS (
-            SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body
+            SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, md5(body)
                 ROWS UNBOUNDED PRECEDING) - length(segment) AS BIGINT) AS start FROM said
         )
         SELECT conv_id, perspective, turn, speaker, role, segment, start,
