@@ -105,3 +105,13 @@ def test_materialized_tables(spark, tmp_path, monkeypatch):
 
 def test_shared_folder(spark):
     assert shared.shared_dir(spark) == shared.shared_dir(spark)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Cluster)
