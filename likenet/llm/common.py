@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, materialize, shared_dir
 
-__all__ = ["bodies", "discard", "held_out_column", "materialize", "mix64", "read_documents", "shared_dir", "small_batches", "text_frame"]
+__all__ = ["bodies", "discard", "held_out_column", "hot_rows", "join_told", "materialize", "mix64", "read_documents", "shared_dir", "small_batches", "text_frame"]
 
 
 _SHIPPED: set[str] = set()
@@ -36,10 +36,15 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts stays small; make sure that executors have the code."""
+    """Bound the rows and bytes of the session's Arrow batches, so that a batch of long texts stays small; make sure that executors have the code.
+
+    The settings are read when a plan runs, so they stay. They are only ever lowered: results don't depend on them.
+    """
     ship_code(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,3 +75,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def hot_rows(n_rows: int) -> int:
+    """A key with more rows than this is hot: over a thousandth of the rows, or over 100,000. There are at most ``max(1000, n_rows / 100,000)`` such keys."""
+    return min(100_000, max(1000, n_rows // 1000))
+
+
+def join_told(rows: DataFrame, told: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``told``, which has one row for each key and says in ``size`` how many rows that key has.
+
+    Rows of hot keys stay where they are: what is told about those keys is broadcast.
+    """
+    is_hot = F.col(size) > hot_rows(n_rows)
+    hot = F.broadcast(told.where(is_hot))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(told.where(~is_hot), key))

@@ -1,8 +1,9 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
 Every partition turns its documents into a sorted run of (digest, identifier to keep, copies).
-Runs then meet in binomial rounds: in each round ``fan_in`` neighbouring runs of one digest range are
-merged, equal digests collapse into one entry, and the entry retains the best identifier seen.
+Runs then meet in binomial rounds: in each round ``fan_in`` neighbouring runs of one digest range come to
+one task, which merges them; equal digests collapse into one entry, and the entry retains the best identifier seen. Runs that
+arrive are put in one order by Spark's sort, which takes presorted stretches as they are and spills; what follows is one pass over it.
 After ``log(runs) / log(fan_in)`` rounds one run is left for every digest range, so the root of the tree
 is spread over as many tasks as there are ranges and no task holds more than its range.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bodies, materialize, small_batches, text_frame
+from .common import bodies, join_told, materialize, small_batches, text_frame
 
 RUN_SCHEMA = "digest binary, n_bytes long, best long, copies long, slot int, run int"
 _NO_ID = np.iinfo(np.int64).min
@@ -133,13 +134,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = materialize(fingerprint(docs, id_col, text_col).withColumn("run", F.spark_partition_id()), "prints")
     n_rows = prints.count()
     merged = materialize(tree_merge(prints, n_rows, keep, fan_in), "runs")
-    # A group of over a thousandth of all rows is hot. There are fewer than 1,000 of those, whatever the input's
-    # size, so their rows are broadcast and the rest meet by digest, with no heavy key among them.
-    hot_size = max(1000, n_rows // 1000)
     told = merged.select("digest", F.col("best").alias("keep_id"), F.col("copies").alias("group_size"))
-    hot = F.broadcast(told.where(F.col("group_size") > hot_size))
-    rows = prints.drop("run")
-    joined = rows.join(hot, "digest").unionByName(
-        rows.join(hot.select("digest"), "digest", "left_anti").join(told.where(F.col("group_size") <= hot_size), "digest")
-    )
+    joined = join_told(prints.drop("run"), told, "digest", "group_size", n_rows)
     return joined.select("doc_id", "digest", "n_bytes", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))

@@ -6,8 +6,8 @@ is merged left to right, and only the two pairs beside the merged one are looked
 touch each other, so the order is that of encoding each word by itself. If a merge opens a pair of a lower
 rank, the positions that are left wait until that rank is done.
 
-Each partition is such a corpus; what it has encoded is remembered up to a bound, so a frequent word is
-encoded once and a text costs a lookup for each of its words.
+Such a corpus is what an Arrow batch of texts brings in words that aren't known yet, up to 50,000 of them, so its arrays have a bound. What has been
+encoded is remembered over batches and partitions up to a bound, so a frequent word is encoded once and a text costs a lookup for each of its words.
 """
 
 from __future__ import annotations
@@ -172,9 +172,9 @@ def coder(path: str, pattern: str) -> MergeReplay:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded text, if asked for).
 
-    One row per row of the input, repeated ones and null identifiers too. Null text counts as empty; an empty text
-    has no ids. A word of any length is encoded whole. An empty table gives an empty result; other columns
-    are ignored.
+    One row per row of the input, repeated ones and null identifiers too; a row depends on its own text alone, so nothing can tie. Null text
+    counts as empty; an empty text has no ids. A word of any length is encoded whole. An empty table gives an empty result; other columns
+    are ignored, whatever they are called.
     """
     small_batches(docs.sparkSession, 1000)
 

@@ -129,6 +129,24 @@ def test_run(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum(map(len, want.values()))
 
 
+def test_further_columns_with_clashing_names(spark):
+    rows = fixture()
+    extra = "dropped_id long, kept string, row int, body string, doc int, label string, kept_text string, host string, words int, digest string, body_ string"
+    more = (7, "no", 3, "b", 1, "l", "kt", "h", 9, "d", "e")
+    docs = spark.createDataFrame([(*r, *more) for r in rows], f"{COLUMNS}, {extra}").repartition(3)
+    for (_, stage), brute in zip(corpus_pipeline.STAGES, BRUTE):
+        got, rows = stage(spark, docs, ""), brute(rows)
+        assert got.columns == docs.columns
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((*r, *more) for r in rows), key=str)
+        docs = spark.createDataFrame([(*r, *more) for r in rows], f"{COLUMNS}, {extra}")
+    assert corpus_pipeline.packing_stage(spark, docs, "").count() >= len(rows)
+
+
+def test_dropped_rows_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_DROPPED", 0)
+    same(corpus_pipeline.exact_stage(spark, spark.createDataFrame(fixture(), COLUMNS), ""), exact(fixture()))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)]])
 def test_tables_that_leave_nothing(spark, rows):
     docs = spark.createDataFrame(rows, COLUMNS)
