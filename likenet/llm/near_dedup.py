@@ -6,8 +6,9 @@ over one, of the least point it got. Registers are independent, the sketch of a
 the sketches, and two sketches agree in a register about as often as the sets' Jaccard similarity says.
 
 1. Documents of one set are one class. From here on a class counts once, however many copies it has.
-2. The registers are cut into bands; classes that agree in a band meet in its bucket. With 24 bands of 3
-   registers a pair of similarity 0.8 meets nowhere with a probability of 3e-8.
+2. The registers are cut into bands; classes that agree in a band meet in its bucket. With 57 bands of 6
+   registers a pair of similarity 0.8 meets nowhere with a probability of 3e-8, one of similarity 0.02 somewhere with 4e-9. The base is so
+   little over one that registers of sets without a common element agree once in 2,000 times, so those meet with less than 1e-17.
 3. In a bucket, every class is paired with the bucket's first one: as many pairs as rows. Pairs whose joint likelihood, from
    how many registers are greater, less and equal, speaks against the threshold by a factor of e^16 are put aside.
    Of the others, each class's likeliest pair is verified on the full sets.
@@ -29,9 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, small_batches, text_frame
+from .common import discard, join_told, materialize, mix64, small_batches, text_frame
 
-BANDS, ROWS, BASE = 24, 3, 1.02
+BANDS, ROWS, BASE = 57, 6, 1.001
+#: So many identifiers of wanted texts are broadcast (16 bytes each); for more, texts are moved.
+BROADCAST_TEXTS = 1_000_000
+#: Shares of the nodes of one label.
+SALT = 16
 #: Classes of one bucket in a block.
 BLOCK = 512
 #: Log of the likelihood ratio beyond which a pair is put aside.
@@ -53,20 +58,34 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
 
 def sketches(sets: list[np.ndarray], m: int, base: float = BASE, scale: float = 20.0) -> np.ndarray:
     """The registers of each set, which must not be empty: (len(sets), m) of uint16."""
-    element = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    least = np.full(len(sets) * m, np.inf)
-    point, turn = np.zeros(len(element)), 0
-    while len(element):
-        turn += 1
-        with np.errstate(over="ignore"):
-            bits = mix64(element + np.uint64(turn) * np.uint64(0xD1342543DE82EF95))
-        point = point - np.log(((bits >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52) / (m * scale)
-        np.minimum.at(least, owner * m + (mix64(bits) % np.uint64(m)).astype(np.int64), point)
-        # Later points of an element are greater: it is done when no register could still take one.
-        live = point < least.reshape(-1, m).max(axis=1)[owner]
-        element, owner, point = element[live], owner[live], point[live]
-    return np.clip(np.floor(1 - np.log(least) / np.log(base)), 0, 65535).astype(np.uint16).reshape(-1, m)
+    least = np.full((len(sets), m), np.inf)
+    # So many points an element of the set will need, as a power of two; sets that need as many are done together.
+    needs = np.array([max(0, int(np.ceil(np.log2(m * (np.log(m) + 1) / len(s))))) for s in sets], int)
+    for need in set(needs.tolist()):
+        ours = np.flatnonzero(needs == need)
+        element = np.concatenate([sets[k] for k in ours])
+        owner = np.repeat(ours, [len(sets[k]) for k in ours])
+        point, drawn, draw = np.zeros(len(element)), 0, 1 << need
+        while len(element):
+            turns = np.arange(drawn + 1, drawn + draw + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+            for k in range(0, len(element), max(1, (1 << 18) // draw)):
+                part = slice(k, k + max(1, (1 << 18) // draw))
+                with np.errstate(over="ignore"):
+                    bits = mix64(element[part, None] + turns)
+                steps = np.log(((bits >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52)
+                steps[:, 0] -= point[part] * (m * scale)
+                points = np.cumsum(steps, axis=1) / (-m * scale)
+                place = owner[part, None] * m + (mix64(bits) % np.uint64(m)).astype(np.int64)
+                np.minimum.at(least.ravel(), place.ravel(), points.ravel())
+                point[part] = points[:, -1]
+            # Later points of an element are greater: it is done when no register could still take one.
+            top = np.full(len(sets), -np.inf)
+            still = np.unique(owner)
+            top[still] = least[still].max(axis=1)
+            live = point < top[owner]
+            element, owner, point = element[live], owner[live], point[live]
+            drawn, draw = drawn + draw, max(1, draw // 4)
+    return np.clip(np.floor(1 - np.log(least) / np.log(base)), 0, 65535).astype(np.uint16)
 
 
 def merge_sketches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,32 +127,43 @@ def likely(greater, less, equal, n_a, n_b, percent: int, base: float = BASE) ->
     return (above >= best - SURE) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
-def _digest_pass(width: int, bands: int, rows: int):
+def _digest_pass(width: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
             # Sets of up to three can only be equal; they need no sketch.
             big = [k for k, s in enumerate(sets) if len(s) >= 4]
-            registers = sketches([sets[k] for k in big], bands * rows)
-            keys = band_keys(registers, rows).view(np.int64)
-            band_list: list = [[]] * len(sets)
             register_list: list = [b""] * len(sets)
-            for row, k in enumerate(big):
-                band_list[k], register_list[k] = keys[row], registers[row].tobytes()
+            for k, registers in zip(big, sketches([sets[k] for k in big], m), strict=True):
+                register_list[k] = registers.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array(band_list, pa.list_(pa.int64())),
                     pa.array(register_list, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands", "registers"],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "registers"],
             )
 
     return run
 
 
+def _band_pass(bands: int, rows: int):
+    """Of rows (node, n_shingles, registers): (band, node, n_shingles) for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, bands * rows)
+                keys = band_keys(registers, rows).view(np.int64).ravel()
+                node, n = (np.repeat(batch.column(k).to_numpy(), bands) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(n)], ["band", "node", "n_shingles"])
+
+    return run
+
+
 def _by_likelihood(percent: int):
     """Of rows (a, n_a, reg_a, b, n_b, reg_b), the pairs (a, b, same) that may be similar enough; same: registers that agree."""
 
@@ -175,19 +205,22 @@ def _by_sets(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): the label is the least node that can be reached.
 
-    Each round hooks a node, and the node it is labelled with, to the least label next to it, then follows labels once.
+    Each round hooks a node, and the node it is labelled with, to the least label next to it, then follows labels once. Most nodes of a large
+    component soon have one label. Distinct labels are looked up first, and only what a label leads on to comes back, dealt to
+    ``SALT`` shares of its nodes.
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        seen = both.join(labels, F.col("b") == F.col("node")).select("a", F.col("label").alias("near"))
-        mine = seen.join(labels, F.col("a") == F.col("node")).select("node", "label", "near")
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        mine = labels.join(near, "node")
         offers = mine.select("node", "near").union(mine.where("near < label").select(F.col("label").alias("node"), "near"))
         offers = offers.groupBy("node").agg(F.min("near").alias("near"))
         hooked = labels.join(offers, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        target = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        jumped = hooked.join(target, F.col("label") == F.col("at"), "left")
-        jumped = materialize(jumped.select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        onward = labels.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("next"))
+        onward = hooked.select("label").distinct().join(onward, "label").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        jumped = hooked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(onward, ["label", "salt"], "left")
+        jumped = materialize(jumped.select("node", "was", F.coalesce("next", "label").alias("label")), "labels")
         changed = jumped.where("label <> was").limit(1).count()
         discard(labels)
         labels = jumped.select("node", "label")
@@ -198,21 +231,29 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sets(nodes: DataFrame, classes: DataFrame, source: DataFrame, width: int) -> DataFrame:
-    """(node, elements): the full sets of ``nodes`` (node), from the texts."""
-    wanted = nodes.join(classes.select("node", "set_key", "rep_id"), "node")
+    """(node, elements): the full sets of ``nodes`` (node), from the text that stands for the class: one with its identifier and hash.
+
+    Rows that repeat both collapse before they are moved and hashed. Where not too many texts are wanted, the others aren't moved at all.
+    """
+    wanted = nodes.join(classes.select("node", "set_key", "rep"), "node").select("node", "set_key", "rep.*")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
             found = [shingle_set(t, width).tobytes() for t in col["body"].to_pylist()]
-            # Another text may have the same identifier.
+            # Another text may have the same identifier and hash.
             same = [hashlib.blake2b(s, digest_size=16).digest() == k for s, k in zip(found, col["set_key"].to_pylist(), strict=True)]
             keep = pa.array(same, pa.bool_())
             yield pa.RecordBatch.from_arrays([col["node"].filter(keep), pa.array(found, pa.binary()).filter(keep)], ["node", "elements"])
 
-    texts = source.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep_id")))
-    found = texts.select("node", "set_key", "body").mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"])
-    return materialize(found, "sets")
+    ours = wanted.toDF("node", "set_key", "rep_id", "rep_hash")
+    texts = source
+    same_row = (F.col("text_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
+    if nodes.count() <= BROADCAST_TEXTS:
+        texts = texts.join(F.broadcast(ours.select("rep_hash")), F.col("text_hash") == F.col("rep_hash"), "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "text_hash"])
+    found = texts.join(ours.hint("shuffle_hash"), same_row).select("node", "set_key", "body")
+    return materialize(found.mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"]), "sets")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int, best: bool) -> DataFrame:
@@ -426,15 +467,21 @@ def near_groups(
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
-    source = text_frame(docs, id_col, text_col)
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, registers binary"
-    told = materialize(source.mapInArrow(_digest_pass(width, bands, rows), schema), "sketches")
+    source = text_frame(docs, id_col, text_col).select("doc_id", F.xxhash64("body").alias("text_hash"), "body")
+    schema = "doc_id long, text_hash long, n_shingles long, set_key binary, registers binary"
+    told = materialize(source.mapInArrow(_digest_pass(width, bands * rows), schema), "sketches")
     classes = told.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))).alias("known"),
+        F.min(F.struct(F.lit(None).cast("long").alias("rep_id"), F.col("text_hash").alias("rep_hash"))).alias("any"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("registers").alias("registers"),
+        F.count(F.lit(1)).alias("copies"),
     )
+    classes = classes.select("set_key", F.coalesce("known", "any").alias("rep"), "n_shingles", "registers", "copies")
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    in_bands = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    sketched = classes.where(F.length("registers") > 0).select("node", "n_shingles", "registers")
+    in_bands = sketched.mapInArrow(_band_pass(bands, rows), "band long, node long, n_shingles long")
     leaders = in_bands.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("met")).where("met > 1")
     met = materialize(in_bands.join(leaders, "band").select("band", "node", "n_shingles", "lead", "met"), "buckets")
     close = 100 * F.least("n_shingles", "lead.n_shingles") >= percent * F.greatest("n_shingles", "lead.n_shingles")
@@ -444,19 +491,25 @@ def near_groups(
     compare, told_of = _Blocks(percent, bands, rows), classes.select("node", "n_shingles", "registers")
     link, place = "a long, b long", "band long, x int, y int, side int, node long, label long"
     across = _gathered(_blocks(met, labels, classes).join(told_of, "node")).mapInArrow(compare.likeliest, link).distinct()
-    links = links.union(_verify(across, classes, source, width, percent, best=False))
-    labels = components(links)
+    more = _verify(across, classes, source, width, percent, best=False)
+    if more.limit(1).count():
+        links = links.union(more)
+        labels = components(links)
     doubtful = materialize(_gathered(_blocks(met, labels, classes).join(told_of, "node")).mapInArrow(compare.doubtful, place), "doubtful")
     if doubtful.limit(1).count():
         full = _sets(doubtful.select("node").distinct(), classes, source, width)
         joined = _gathered(doubtful.join(told_of, "node").join(full, "node"), "elements").mapInArrow(compare.joining, link)
-        links = links.union(materialize(joined, "joined"))
-        labels = components(links)
-
-    least = classes.join(labels, "node", "left").select("set_key", "rep_id", F.coalesce("label", "node").alias("label"))
-    of_label = least.groupBy("label").agg(F.min("rep_id").alias("component"))
-    of_key = least.join(of_label, "label").select("set_key", "component")
+        joined = materialize(joined, "joined")
+        if joined.limit(1).count():
+            labels = components(links.union(joined))
+
+    least = classes.join(labels, "node", "left").select("set_key", "rep.rep_id", "copies", F.coalesce("label", "node").alias("label"))
+    of_label = least.groupBy("label").agg(F.min("rep_id").alias("component"), F.count(F.lit(1)).alias("n"))
+    n_rows = told.count()
+    of_key = join_told(least.select("set_key", "copies", "label"), of_label, "label", "n", n_rows).select("set_key", "copies", "component")
+    of_key = materialize(of_key, "components")
     out = told.select("doc_id", "n_shingles", "set_key")
-    linked = out.where("n_shingles > 0").join(of_key, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    linked = join_told(out.where("n_shingles > 0"), of_key, "set_key", "copies", n_rows)
+    linked = linked.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from likenet.llm import near_dedup
+from likenet.llm import common, near_dedup
 from likenet.llm.near_dedup import likely, merge_sketches, near_groups, shingle_set, sketches
 
 
@@ -46,7 +46,7 @@ def corpus(seed, n):
     return rows
 
 
-EDGES = [(1000, None), (1001, ""), (1002, " \n"), (1003, "One"), (1004, "one "), (1005, "one two"), (1006, "ONE TWO"), (1007, "É x"), (1008, "é x"), (1009, "go " * 5000), (1003, "One"), (None, "one two"), (None, "nobody else")]
+EDGES = [(1000, None), (1001, ""), (1002, " \n"), (1003, "One"), (1004, "one "), (1005, "one two"), (1006, "ONE TWO"), (1007, "É x"), (1008, "é x"), (1009, "go " * 5000), (1003, "One"), (None, "one two"), (None, "nobody else"), *[(None, "nobody else at all")] * 30, *[(1011, f"again and again {i}") for i in range(20)]]
 
 
 @pytest.mark.parametrize("width", [2, 5])
@@ -87,6 +87,27 @@ def test_sketches_are_mergeable_and_estimate():
     assert abs(max(np.linspace(0, 1, 201), key=at) - 0.8) < 0.03
 
 
+def test_unrelated_sets_do_not_meet():
+    """How often registers of sets without common elements agree; a bucket needs ROWS of them, and there are BANDS of those."""
+    rng = np.random.default_rng(2)
+    s = sketches([rng.integers(0, 2**63, 300).astype(np.uint64) for _ in range(400)], near_dedup.BANDS * near_dedup.ROWS)
+    agree = np.mean([(s[i] == s[j]).mean() for i in range(200) for j in range(200, 400)])
+    assert agree < 1 / 1000 and near_dedup.BANDS * agree**near_dedup.ROWS < 1e-8
+    # Nor do sets that share a fiftieth, or not often.
+    assert near_dedup.BANDS * (0.02 + agree) ** near_dedup.ROWS < 1e-8
+    # And those that are similar enough do.
+    assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 1e-7
+
+
+def test_hot_labels_and_sets(spark, monkeypatch):
+    """Groups that are hot keys, with texts moved and not moved."""
+    monkeypatch.setattr(common, "hot_rows", lambda n: 3)
+    rows = corpus(9, 120) + EDGES
+    monkeypatch.setattr(near_dedup, "BROADCAST_TEXTS", 0)
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 2)
+
+
 def test_likelihood_keeps_links_and_drops_others():
     rng = np.random.default_rng(1)
     m, n = near_dedup.BANDS * near_dedup.ROWS, 900.0
