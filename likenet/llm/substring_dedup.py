@@ -6,13 +6,16 @@ an anchor at the same place inside, and it is enough to compare anchors that sha
 
 1. Each partition finds its anchors with a hash of the substring and one of the whole surroundings, which hold every window
    of the anchor. Anchors of equal surroundings are a class, all of whose windows repeat. A partition settles its own
-   classes and sends one member of each; so a passage that fills a third of the rows is sent once per partition.
+   classes and sends one member of each; so a passage that fills a third of the rows is sent once per partition. (The hash of surroundings folds two
+   of independent kinds, one modulo 2^64 and one modulo a prime, and goes with that of the substring.)
 2. Anchors meet by substring, packed in buckets. Classes that span partitions are settled. Where one substring has several classes,
-   one member of each asks for its surroundings.
+   one member of each asks for its surroundings. Substrings with very many classes, such as rulers, are known from a sample of the documents
+   and don't meet here: their anchors ask at once, to meet by parts of their windows. Should the sample miss one, it only costs time.
 3. The surroundings of one substring are put in suffix order to the right, within every branch of their order to the
-   left. In a branch that agrees on the left for ``d`` bytes, the greatest common prefix that an anchor has with another one is the one with its neighbour
-   in suffix order; with an earlier one, with its previous or next smaller position there (the longest previous
-   factor). Windows that begin ``d`` bytes before the anchor repeat if ``d`` and that prefix make up ``length``.
+   left. In a branch that agrees on the left for ``d`` bytes, the greatest common prefix that an anchor has with an earlier one is the one with its previous
+   or next smaller position in suffix order (the longest previous factor), and with a later one that with its previous or next greater
+   position. Windows that begin ``d`` bytes before the anchor repeat if ``d`` and that prefix make up ``length``. Where every copy goes both
+   count, where the first one stays the previous ones only.
    A substring with too many classes to order in one task has its windows split in ``PARTS`` parts by ``d``; those of a part have more than
    the substring in common, and anchors meet again by that. Parts are split further where need be; in the end a part is one window.
 4. The spans of each document are merged and cut out.
@@ -29,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ from .common import materialize, mix64, small_batches
 GRAM = 32
 #: Anchors that are put in order in one task; beyond, they are split by more of their surroundings.
 MOST_CLASSES = 20_000
+#: Documents of the sample that tells substrings with very many classes: a fiftieth, within these bounds.
+SAMPLE = 5_000, 200_000
 #: Texts are hashed together up to so many bytes.
 _BLOCK = 1 << 17
 _NO_ID = -(1 << 63)
@@ -48,6 +52,10 @@ _BYTE = _rng.integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uin
 _STEP = np.uint64(0x5851F42D4C957F2D)
 _BACK = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+# The second hash: a polynomial modulo a prime, with letters and a base of its own.
+_PRIME, _BASE = np.uint64((1 << 31) - 1), 1_103_515_245
+_LETTER = _rng.integers(1, (1 << 31) - 1, 256).astype(np.uint64)
+_prime_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
@@ -61,6 +69,15 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _prime_tables(n: int) -> list[np.ndarray]:
+    """Powers of _BASE modulo _PRIME and of its inverse, at least ``n`` of each."""
+    while len(_prime_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, int(_PRIME)))):
+            have = _prime_powers[k]
+            _prime_powers[k] = np.concatenate([have, have * np.uint64(pow(base, len(have), int(_PRIME))) % _PRIME])
+    return _prime_powers
+
+
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """``pick`` (minimum or maximum) over values[i : i + width]."""
     done = 1
@@ -110,6 +127,10 @@ class AnchorFinder:
         low = np.maximum(starts[of], at - (self.length - GRAM))
         high = np.minimum(ends[of], at + self.length)
         around = mix64((prefix[high] - prefix[low]) * back[low])
+        prime_up, prime_back = _prime_tables(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_LETTER[raw] * prime_up[:n] % _PRIME, out=sums[1:])
+        around = mix64(around ^ ((sums[high] - sums[low]) % _PRIME * prime_back[low] % _PRIME) * _STEP)
         around = mix64(around + (at - low).astype(np.uint64) * _STEP + (high - at).astype(np.uint64))
         return of, at - starts[of], grams[at], around
 
@@ -125,8 +146,9 @@ def _merge_spans(spans: np.ndarray) -> np.ndarray:
 
 
 # What a partition sends for each anchor.
-_SENT = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("place", "<i4"), ("size", "<i4"), ("check", "<u4"), ("many", "u1")])
+_SENT = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("place", "<i4"), ("size", "<i4"), ("check", "<i8"), ("many", "u1")])
 _ROWS = "doc long, check long, kind int, gram long, spans binary"
+_MET = ["bucket", "doc", "check", "kind", "gram", "spans"]
 SPAN, ASK, SHOW, ASK_MANY, SHOW_MANY = range(5)
 
 
@@ -156,13 +178,24 @@ def _span_rows(doc, check, spans: list[bytes]) -> pa.RecordBatch:
     )
 
 
+def _ask_rows(heads: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    """Rows by which anchors ask for their surroundings."""
+    places = pa.array([p.tobytes() for p in heads["place"].astype("<i4")], pa.binary())
+    arrays = [pa.array(heads["doc"]), pa.array(heads["check"]), pa.array(kind.astype(np.int32)), pa.array(heads["gram"].view(np.int64)), places]
+    return pa.RecordBatch.from_arrays(arrays, ["doc", "check", "kind", "gram", "spans"])
+
+
 def _windows_of(place, size, length: int) -> np.ndarray:
     """The surroundings, as spans, of anchors at these places of texts of these sizes."""
     return np.column_stack([np.maximum(0, place - (length - GRAM)), np.minimum(size, place + length)]).astype("<i4")
 
 
-def _find_pass(length: int, first_stays: bool, buckets: int):
-    """(bucket, doc, check, blob): anchors for the bucket; or, where doc isn't null, a document's settled spans."""
+def _find_pass(length: int, first_stays: bool, buckets: int, large: np.ndarray | None = None):
+    """Of rows (doc, check, body): (bucket, doc, check, kind, gram, spans), anchors for the bucket; or, where doc isn't null, a document's settled spans and what it asks.
+
+    Anchors of ``large`` substrings (sorted) ask at once.
+    """
+    large = np.zeros(0, np.uint64) if large is None else large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, parts, docs, checks, sizes = AnchorFinder(length), [], [], [], []
@@ -173,14 +206,14 @@ def _find_pass(length: int, first_stays: bool, buckets: int):
 
         for batch in batches:
             block, filled, base = [], 0, len(docs)
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, check, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if block and filled + len(text) > _BLOCK:
                     take(block, base)
                     block, filled, base = [], 0, len(docs)
                 block.append(text)
                 filled += len(text)
                 docs.append(doc)
-                checks.append(xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF)
+                checks.append(check)
                 sizes.append(len(text))
             if block:
                 take(block, base)
@@ -189,7 +222,7 @@ def _find_pass(length: int, first_stays: bool, buckets: int):
         of = np.concatenate([p[0] for p in parts])
         rows = np.zeros(len(of), _SENT)
         rows["place"], rows["gram"], rows["around"] = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-        rows["doc"], rows["check"], rows["size"] = np.array(docs, np.int64)[of], np.array(checks, np.uint32)[of], np.array(sizes, np.int32)[of]
+        rows["doc"], rows["check"], rows["size"] = np.array(docs, np.int64)[of], np.array(checks, np.int64)[of], np.array(sizes, np.int32)[of]
         parts.clear()
         order = np.lexsort((rows["place"], rows["doc"], rows["around"], rows["gram"]))
         rows, of = rows[order], of[order]
@@ -205,12 +238,16 @@ def _find_pass(length: int, first_stays: bool, buckets: int):
         cuts = np.flatnonzero(np.diff(of)) + 1
         numbers = of[np.concatenate([[0], cuts])] if len(of) else of
         merged = [_merge_spans(s).astype("<i4").tobytes() for s in np.split(spans, cuts)] if len(of) else []
-        names = ["bucket", "doc", "check", "blob"]
+        bucket_of = lambda numbers: pa.array(((numbers + TaskContext.get().partitionId()) % buckets).astype(np.int32))
         if merged:
-            who = np.array(docs, np.int64)[numbers]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(((numbers + TaskContext.get().partitionId()) % buckets).astype(np.int32)), pa.array(who), pa.array(np.array(checks, np.int64)[numbers]), pa.array(merged, pa.binary())], names
-            )
+            who = _span_rows(np.array(docs, np.int64)[numbers], np.array(checks, np.int64)[numbers], merged)
+            yield pa.RecordBatch.from_arrays([bucket_of(numbers), *who.columns], _MET)
+        at_once = np.isin(sent["gram"], large)
+        if at_once.any():
+            asks = sent[at_once]
+            asks = _ask_rows(asks, np.where((asks["many"] > 0) & (not first_stays), SHOW_MANY, ASK_MANY))
+            yield pa.RecordBatch.from_arrays([bucket_of(np.arange(asks.num_rows)), *asks.columns], _MET)
+            sent = sent[~at_once]
         bucket = (sent["gram"] >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         sent, bucket = sent[order], bucket[order].astype(np.int32)
@@ -219,7 +256,8 @@ def _find_pass(length: int, first_stays: bool, buckets: int):
         blobs = [_pack(s) for s in np.split(sent, cuts)] if len(bucket) else []
         for k in range(0, len(blobs), 256):
             n = len(blobs[k : k + 256])
-            yield pa.RecordBatch.from_arrays([pa.array(heads[k : k + 256]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(blobs[k : k + 256], pa.binary())], names)
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(heads[k : k + 256]), none, none, pa.nulls(n, pa.int32()), none, pa.array(blobs[k : k + 256], pa.binary())], _MET)
 
     return run
 
@@ -245,7 +283,7 @@ def _settled(rows: np.ndarray, begins: np.ndarray, many: np.ndarray, first_stays
 
 
 def _bucket_pass(length: int, first_stays: bool, most_classes: int):
-    """Of rows (bucket, doc, check, blob) sorted by bucket: settled spans, and who has to show surroundings."""
+    """Of the rows of ``_find_pass``, sorted by bucket: settled spans, and who has to show surroundings."""
 
     def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = _unpack(blobs)
@@ -254,7 +292,7 @@ def _bucket_pass(length: int, first_stays: bool, most_classes: int):
         mine = rows[_settled(rows, begins, many, first_stays)]
         if len(mine):
             spans = _windows_of(mine["place"].astype(np.int64), mine["size"], length)
-            yield _span_rows(mine["doc"], mine["check"].astype(np.int64), [s.tobytes() for s in spans])
+            yield _span_rows(mine["doc"], mine["check"], [s.tobytes() for s in spans])
         heads = rows[begins]
         new = np.flatnonzero(np.concatenate([[True], heads["gram"][1:] != heads["gram"][:-1]])) if len(heads) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(new, len(heads)))
@@ -263,16 +301,7 @@ def _bucket_pass(length: int, first_stays: bool, most_classes: int):
         if asks.any():
             heads, many, shared = heads[asks], many[asks], shared[asks]
             kind = np.where(many & (not first_stays), SHOW, ASK) + 2 * (shared > most_classes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(heads["doc"]),
-                    pa.array(heads["check"].astype(np.int64)),
-                    pa.array(kind.astype(np.int32)),
-                    pa.array(heads["gram"].view(np.int64)),
-                    pa.array([p.tobytes() for p in heads["place"].astype("<i4")], pa.binary()),
-                ],
-                ["doc", "check", "kind", "gram", "spans"],
-            )
+            yield _ask_rows(heads, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -280,9 +309,9 @@ def _bucket_pass(length: int, first_stays: bool, most_classes: int):
             known = batch.column(1).is_valid()
             ready = batch.filter(known)
             if ready.num_rows:
-                yield _span_rows(ready.column(1), ready.column(2), ready.column(3))
+                yield ready.select(_MET[1:])
             rest = batch.filter(pc.invert(known))
-            for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(3).to_pylist(), strict=True):
+            for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(5).to_pylist(), strict=True):
                 if bucket != now and blobs:
                     yield from settle(blobs)
                     blobs = []
@@ -320,7 +349,7 @@ def _parts(low: int, high: int, left: bytes, right: bytes, length: int) -> Itera
 
 
 def _surroundings_pass(length: int):
-    """Of rows (doc, body, asked): (doc, check, kind, gram, spans, place, low, high, left, right), left read backwards.
+    """Of rows (doc, check, body, asked): (doc, check, kind, gram, spans, place, low, high, left, right), left read backwards.
 
     Anchors of a substring with too many classes give a row for each part of their windows.
     """
@@ -329,12 +358,9 @@ def _surroundings_pass(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, body, asked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                check = xxhash.xxh3_64_intdigest(body) & 0xFFFFFFFF
+            for doc, check, body, asked in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 back = body[::-1]
                 for ask in asked:
-                    if ask["check"] != check:
-                        continue
                     place, kind = int.from_bytes(ask["spans"], "little"), ask["kind"]
                     at = len(body) - place
                     left, right = back[at : at + reach], body[place : place + length]
@@ -373,14 +399,12 @@ def common_prefix(x: bytes, y: bytes) -> int:
     return low
 
 
-def longest_factors(prefixes: list[int], places: list | None) -> list[int]:
-    """For suffixes in order, with the common prefixes of neighbours: the longest that each shares with another one.
+def longest_factors(prefixes: list[int], places: list) -> list[int]:
+    """For suffixes in order, with the common prefixes of neighbours: the longest that each shares with one of a smaller place.
 
-    With ``places``, with one of a smaller place: that is the previous or the next smaller place in suffix order.
+    That is the previous or the next smaller place in suffix order.
     """
     n = len(prefixes) + 1
-    if places is None:
-        return [max(prefixes[k - 1] if k else 0, prefixes[k] if k < n - 1 else 0) for k in range(n)]
     best = [0] * n
     for order, step in ((range(n), -1), (range(n - 1, -1, -1), 0)):
         stack: list[tuple] = []  # (place, least prefix between it and the entry above)
@@ -394,10 +418,10 @@ def longest_factors(prefixes: list[int], places: list | None) -> list[int]:
     return best
 
 
-def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, places: list | None = None, least: int = 0, most: int = 1 << 30) -> list[list[tuple[int, int]]]:
-    """Of each anchor: spans, relative to it, of its windows that repeat around another anchor (with ``places``: an earlier one).
+def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, places: list[int], earlier: bool, least: int = 0, most: int = 1 << 30) -> list[list[tuple[int, int]]]:
+    """Of each anchor: spans, relative to it, of its windows that repeat around another anchor, or an ``earlier`` one only.
 
-    Windows that begin ``least`` to ``most`` bytes before the anchor are looked at.
+    ``places`` are the ranks of the anchors in the corpus; they tie where an anchor is given twice. Windows that begin ``least`` to ``most`` bytes before the anchor are looked at.
     """
     n = len(lefts)
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -413,10 +437,20 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, place
         if depth >= base:
             branch = sorted(by_left[low : high + 1], key=rank.__getitem__)
             prefixes = [common_prefix(rights[a], rights[b]) for a, b in zip(branch, branch[1:], strict=False)]
-            for a, right in zip(branch, longest_factors(prefixes, places and [places[a] for a in branch]), strict=True):
-                nearest, furthest = max(base, length - right), min(depth, most)
-                if nearest <= furthest:
-                    out[a].append((-furthest, length - nearest))
+            # Only runs of neighbours that agree long enough to the right can hold a window.
+            need, furthest, at = length - min(depth, most), min(depth, most), 0
+            for end in [*(k for k, x in enumerate(prefixes) if x < need), len(prefixes)]:
+                run, inner, at = branch[at : end + 1], prefixes[at:end], end + 1
+                if not inner:
+                    continue
+                ranks = [places[a] for a in run]
+                factors = longest_factors(inner, ranks)
+                if not earlier:  # with later ones: greater places are smaller ones counted from the end
+                    factors = list(map(max, factors, longest_factors(inner, [-r for r in ranks])))
+                for a, right in zip(run, factors, strict=True):
+                    nearest = max(base, length - right)
+                    if nearest <= furthest:
+                        out[a].append((-furthest, length - nearest))
         begin = low
         for k in range(low, high + 1):
             if k == high or agree[k] == depth:
@@ -434,8 +468,12 @@ def _order_pass(length: int, first_stays: bool, most_classes: int):
         return (row[0], row[1], SPAN, row[0], np.array([(place + a, place + b) for a, b in spans], "<i4").tobytes(), *[None] * 5)
 
     def order(rows: list[tuple]) -> list[tuple]:
-        places = [(r[0], r[5]) for r in rows] if first_stays else None
-        found = repeated_windows([r[8] for r in rows], [r[9] for r in rows], length, places, rows[0][6], rows[0][7])
+        if first_stays:
+            rank = {p: k for k, p in enumerate(sorted({(r[0], r[5]) for r in rows}))}
+            places = [rank[r[0], r[5]] for r in rows]
+        else:  # every row is an occurrence of its own, even if identifiers repeat
+            places = list(range(len(rows)))
+        found = repeated_windows([r[8] for r in rows], [r[9] for r in rows], length, places, first_stays, rows[0][6], rows[0][7])
         return [span(r, spans) for r, spans in zip(rows, found, strict=True) if spans and r[2] == ASK]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,9 +533,7 @@ def _cut_pass(names: list[str], with_text: bool):
             for body, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 spans = np.zeros((0, 2), np.int64)
                 if found:
-                    check = xxhash.xxh3_64_intdigest(body) & 0xFFFFFFFF
-                    blob = b"".join(f["spans"] for f in found if f["check"] == check)
-                    spans = _merge_spans(np.frombuffer(blob, "<i4").reshape(-1, 2).astype(np.int64))
+                    spans = _merge_spans(np.frombuffer(b"".join(found), "<i4").reshape(-1, 2).astype(np.int64))
                 left, at = [], 0
                 for a, b in spans.tolist():
                     left.append(body[at:a])
@@ -517,6 +553,23 @@ def _cut_pass(names: list[str], with_text: bool):
     return run
 
 
+def _large_grams(base: DataFrame, length: int, most_classes: int) -> np.ndarray:
+    """Hashes of substrings that by a sample of documents have over ``most_classes`` classes, sorted; at most a third of the sample's anchors."""
+    n = base.count()
+    share = min(1.0, min(max(SAMPLE[0], n // 50), SAMPLE[1]) / max(1, n))
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = AnchorFinder(length)
+        for batch in batches:
+            _, _, gram, around = find(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(around.view(np.int64))], ["gram", "around"])
+
+    sample = base.where(F.pmod(F.col("check"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else base
+    told = sample.select("body").distinct().mapInArrow(anchors, "gram long, around long").distinct()
+    told = told.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(2, most_classes * share))
+    return np.sort(np.array([r.gram for r in told.select("gram").collect()], np.int64).view(np.uint64))
+
+
 def substring_dedup(
     docs: DataFrame,
     length: int = 200,
@@ -530,8 +583,9 @@ def substring_dedup(
     """The columns ``carry``, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of each row.
 
     Texts are UTF-8 bytes; null counts as empty. A text shorter than ``length`` loses nothing. Equal texts are copies of each other. With ``keep="first"``,
-    rows that repeat an identifier and text count as one document, and a null identifier comes first. ``kept_text`` leaves out characters that a cut went through.
-    An empty table gives an empty result.
+    rows that repeat an identifier and text count as one document, a null identifier comes first, and different texts of one identifier that hold the same string at the
+    same place tie, so that both keep it. With ``keep="none"`` rows without identifier are like any others. ``kept_text`` leaves out characters that a cut went through.
+    A text of any length counts whole. An empty table gives an empty result. Columns that aren't carried are ignored, whatever they are called.
     """
     if keep not in ("none", "first"):
         raise ValueError("keep must be none or first")
@@ -540,24 +594,33 @@ def substring_dedup(
     # Carried columns get names of their own: they may be called like ours. The identifier comes back from "doc", so that
     # without others both joins below take the same rows, and the texts are shuffled once.
     extra = [c for c in carry if c != id_col]
+    # Rows are told apart by identifier and hash of the text, so those without identifier share nothing, unless their texts are the same.
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"),
         *(F.col(c).alias(f"carry_{c}") for c in extra),
     )
+    base = base.select("doc", F.xxhash64("body").alias("check"), *base.columns[1:])
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = base.select("doc", "body").mapInArrow(_find_pass(length, first_stays, buckets), "bucket int, doc long, check long, blob binary")
+    large = _large_grams(base.select("doc", "check", "body"), length, most_classes)
+    sent = base.select("doc", "check", "body").mapInArrow(_find_pass(length, first_stays, buckets, large), "bucket int, " + _ROWS)
     met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pass(length, first_stays, most_classes), _ROWS)
     met = materialize(met, "anchors")
 
-    asks = met.where(F.col("kind") != SPAN).groupBy("doc").agg(F.collect_list(F.struct("check", "kind", "gram", "spans")).alias("asked"))
-    around = base.join(asks.hint("shuffle_hash"), "doc").select("doc", "body", "asked").mapInArrow(_surroundings_pass(length), _FULL)
-    # Spans go through the later passes untouched; without large substrings there is nothing else in those.
+    # Sets: rows that repeat an identifier and a text ask, and are told, the same.
+    asks = met.where(F.col("kind") != SPAN).groupBy("doc", "check").agg(F.collect_set(F.struct("kind", "gram", "spans")).alias("asked"))
+    rest = base.join(asks.hint("shuffle_hash"), ["doc", "check"])
+    rest = rest.select("doc", "check", "body", "asked").mapInArrow(_surroundings_pass(length), _FULL)
+    found = met.where(F.col("kind") == SPAN).select("doc", "check", "spans")
     for _ in range(max(1, _splits(length))):
-        around = around.repartition("gram").sortWithinPartitions("gram").mapInArrow(_order_pass(length, first_stays, most_classes), _FULL)
-    found = around.select("doc", "check", "spans").union(met.where(F.col("kind") == SPAN).select("doc", "check", "spans"))
-    spans = found.groupBy("doc").agg(F.collect_list(F.struct("check", "spans")).alias("found"))
-    rows = base.join(spans.hint("shuffle_hash"), "doc", "left")
+        ordered = rest.repartition("gram").sortWithinPartitions("gram").mapInArrow(_order_pass(length, first_stays, most_classes), _FULL)
+        ordered = materialize(ordered, "ordered")
+        found = found.union(ordered.where(F.col("kind") == SPAN).select("doc", "check", "spans"))
+        rest = ordered.where(F.col("kind") != SPAN)
+        if not rest.limit(1).count():
+            break
+    spans = found.groupBy("doc", "check").agg(F.collect_set("spans").alias("found"))
+    rows = base.join(spans.hint("shuffle_hash"), ["doc", "check"], "left")
     kinds = dict(docs.dtypes)
     who = F.when(F.col("doc") != _NO_ID, F.col("doc")).cast(kinds[id_col])
     rows = rows.select("doc", "body", "found", *((who if c == id_col else F.col(f"carry_{c}")).alias(f"carry_{c}") for c in carry))

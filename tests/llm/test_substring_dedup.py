@@ -100,20 +100,49 @@ def test_longest_factors():
         items = sorted(bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(rng.randint(2, 9)))
         places = rng.sample(range(99), len(items))
         prefixes = [common_prefix(a, b) for a, b in zip(items, items[1:])]
-        for ranks in (None, places):
-            want = [max([common_prefix(a, b) for j, b in enumerate(items) if j != i and (ranks is None or ranks[j] < ranks[i])], default=0) for i, a in enumerate(items)]
-            assert longest_factors(prefixes, ranks) == want
+        want = [max([common_prefix(a, b) for j, b in enumerate(items) if j != i and places[j] < places[i]], default=0) for i, a in enumerate(items)]
+        assert longest_factors(prefixes, places) == want
 
 
-def test_repeated_windows():
+@pytest.mark.parametrize("earlier", [False, True])
+def test_repeated_windows(earlier):
     rng = random.Random(7)
     for n in range(1, 12):
         lefts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 8))) for _ in range(n)]
         rights = [bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 9))) for _ in range(n)]
-        got = repeated_windows(lefts, rights, 9)
+        places = rng.sample(range(50), n)
+        got = repeated_windows(lefts, rights, 9, places, earlier)
         for i in range(n):
-            want = set()
+            want, others = set(), [j for j in range(n) if j != i and (not earlier or places[j] < places[i])]
             for d in range(9):
-                if any(j != i and common_prefix(lefts[i], lefts[j]) >= d and common_prefix(rights[i], rights[j]) >= 9 - d for j in range(n)):
+                if any(common_prefix(lefts[i], lefts[j]) >= d and common_prefix(rights[i], rights[j]) >= 9 - d for j in others):
                     want |= set(range(-d, 9 - d))
             assert {x for a, b in got[i] for x in range(a, b)} == want
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_a_ruler_in_every_text(spark, keep):
+    """One substring that is an anchor nearly everywhere, with surroundings that differ; and rows without identifier."""
+    rng = random.Random(12)
+    make = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    passage = make(150) + "=" * 70 + make(150)
+    rows = [(i, make(rng.randint(100, 300)) + "=" * 70 + make(rng.randint(100, 300)) + (passage if i % 5 == 0 else "")) for i in range(120)]
+    if keep == "none":
+        rows += [(None, make(200) + passage[20:330]) for _ in range(6)] + [(None, rows[7][1])] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup(docs, 100, keep, most_classes=10).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows, 100, keep)
+
+
+def test_second_hash_against_direct_sums():
+    """Surroundings are equal where their bytes are, wherever they lie."""
+    rng = random.Random(13)
+    core = "".join(rng.choices("abcdefgh", k=400)).encode()
+    find = AnchorFinder(50)
+    around = {}
+    for shift in (0, 1, 77, 5000):
+        of, place, gram, hashed = find([bytes(rng.choices(b"xyz", k=shift)) + core])
+        for p, g, h in zip(place.tolist(), gram.tolist(), hashed.tolist()):
+            if shift + 50 <= p <= shift + 300:
+                assert around.setdefault((p - shift, g), h) == h
+    assert len(around) > 3 and len(set(around.values())) == len(around)
