@@ -34,8 +34,12 @@ def agrees(cells: DataFrame, dense: np.ndarray, tolerance: float = 1e-8) -> bool
     return bool((np.abs(got - dense) <= tolerance).all())
 
 
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, j, score, other, difference) of two matrices of any size, cell by cell; absent cells are null, and zero in the difference."""
+    both = a.select("i", "j", "score").join(b.select("i", "j", F.col("score").alias("other")), ["i", "j"], "full")
+    return both.withColumn("difference", F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("other", F.lit(0.0))))
+
+
 def max_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(largest absolute difference) of two matrices of any size; absent cells are zero."""
-    both = a.select("i", "j", F.col("score").alias("x")).join(b.select("i", "j", F.col("score").alias("y")), ["i", "j"], "full")
-    gap = F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))
-    return both.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("difference"))
+    """(largest absolute difference) of two matrices of any size."""
+    return differences(a, b).agg(F.coalesce(F.max("difference"), F.lit(0.0)).alias("difference"))
