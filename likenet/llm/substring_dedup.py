@@ -46,6 +46,8 @@ SAMPLE = 5_000, 200_000
 #: Texts are hashed together up to so many bytes.
 _BLOCK = 1 << 17
 _NO_ID = -(1 << 63)
+#: From so many values on, NumPy is faster than a loop.
+_VECTORS = 64
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -402,22 +404,63 @@ def common_prefix(x: bytes, y: bytes) -> int:
 def longest_factors(prefixes: list[int], places: list) -> list[int]:
     """For suffixes in order, with the common prefixes of neighbours: the longest that each shares with one of a smaller place.
 
-    That is the previous or the next smaller place in suffix order.
+    That is the previous or the next smaller place in suffix order; one stack tells both. Equal places aren't smaller.
     """
-    n = len(prefixes) + 1
-    best = [0] * n
-    for order, step in ((range(n), -1), (range(n - 1, -1, -1), 0)):
-        stack: list[tuple] = []  # (place, least prefix between it and the entry above)
-        for k in order:
-            run = prefixes[k + step] if stack else 0
-            while stack and stack[-1][0] >= places[k]:
-                run = min(run, stack.pop()[1])
-            if stack:
-                best[k] = max(best[k], run)
-            stack.append((places[k], run))
+    best = [0] * len(places)
+    stack: list[tuple] = []  # (suffix, place, prefix shared with the entry below, with the previous smaller place)
+    for k, place in enumerate(places):
+        run = prefixes[k - 1] if k else 0
+        while stack and stack[-1][1] > place:
+            suffix, _, below, _ = stack.pop()
+            if run > best[suffix]:
+                best[suffix] = run
+            if below < run:
+                run = below
+        before = 0
+        if stack:
+            _, last, _, reach = stack[-1]
+            before = run if last < place else min(run, reach)
+            best[k] = before
+        stack.append((k, place, run, before))
     return best
 
 
+class _RangeMinimum:
+    """Least of values[a:b]; from tables of spans of powers of two where there are many values."""
+
+    def __init__(self, values: list[int]):
+        self.values, self.tables = values, []
+        if len(values) >= _VECTORS:
+            table, step = np.array(values, np.int32), 1
+            self.tables.append(table)
+            while 2 * step <= len(values):
+                table = np.minimum(table[:-step], table[step:])
+                self.tables.append(table)
+                step *= 2
+
+    def between(self, marks: list[int]) -> list[int]:
+        """For neighbours a, b of rising marks."""
+        if not self.tables:
+            return [min(self.values[a:b]) for a, b in zip(marks, marks[1:], strict=False)]
+        if len(marks) >= _VECTORS:
+            at = np.array(marks)
+            a, b = at[:-1], at[1:]
+            level = np.frexp((b - a).astype(np.float64))[1] - 1
+            out = np.empty(len(a), np.int32)
+            for k in np.flatnonzero(np.bincount(level)).tolist():
+                here = level == k
+                out[here] = np.minimum(self.tables[k][a[here]], self.tables[k][b[here] - (1 << k)])
+            return out.tolist()
+        out = []
+        for a, b in zip(marks, marks[1:], strict=False):
+            if b - a <= _VECTORS:
+                out.append(min(self.values[a:b]))
+            else:
+                k = (b - a).bit_length() - 1
+                out.append(int(min(self.tables[k][a], self.tables[k][b - (1 << k)])))
+        return out
+
+
 def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, places: list[int], earlier: bool, least: int = 0, most: int = 1 << 30) -> list[list[tuple[int, int]]]:
     """Of each anchor: spans, relative to it, of its windows that repeat around another anchor, or an ``earlier`` one only.
 
@@ -425,37 +468,50 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int, place
     """
     n = len(lefts)
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    if n == 2:  # most groups: each is the other's neighbour
+        nearest = max(least, length - common_prefix(*rights))
+        furthest = min(common_prefix(*lefts), most)
+        for a in (0, 1) if nearest <= furthest else ():
+            if places[a] > places[1 - a] or (not earlier and places[a] < places[1 - a]):
+                out[a].append((-furthest, length - nearest))
+        return out
     by_left = sorted(range(n), key=lefts.__getitem__)
     agree = [common_prefix(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:], strict=False)]
+    by_right = sorted(range(n), key=rights.__getitem__)
+    shared = _RangeMinimum([common_prefix(rights[a], rights[b]) for a, b in zip(by_right, by_right[1:], strict=False)])
     rank = [0] * n
-    for k, a in enumerate(sorted(range(n), key=rights.__getitem__)):
+    for k, a in enumerate(by_right):
         rank[a] = k
+    left_ranks = [rank[a] for a in by_left]
     todo = [(0, n - 1, least)] if n > 1 else []
     while todo:
         low, high, base = todo.pop()
         depth = min(agree[low:high])
         if depth >= base:
-            branch = sorted(by_left[low : high + 1], key=rank.__getitem__)
-            prefixes = [common_prefix(rights[a], rights[b]) for a, b in zip(branch, branch[1:], strict=False)]
+            branch = sorted(left_ranks[low : high + 1])
+            prefixes = shared.between(branch)
             # Only runs of neighbours that agree long enough to the right can hold a window.
             need, furthest, at = length - min(depth, most), min(depth, most), 0
             for end in [*(k for k, x in enumerate(prefixes) if x < need), len(prefixes)]:
-                run, inner, at = branch[at : end + 1], prefixes[at:end], end + 1
+                inner, first, at = prefixes[at:end], at, end + 1
                 if not inner:
                     continue
+                run = [by_right[r] for r in branch[first : end + 1]]
                 ranks = [places[a] for a in run]
                 factors = longest_factors(inner, ranks)
                 if not earlier:  # with later ones: greater places are smaller ones counted from the end
-                    factors = list(map(max, factors, longest_factors(inner, [-r for r in ranks])))
+                    factors = map(max, factors, longest_factors(inner, [-r for r in ranks]))
                 for a, right in zip(run, factors, strict=True):
                     nearest = max(base, length - right)
                     if nearest <= furthest:
                         out[a].append((-furthest, length - nearest))
+        if depth >= most:
+            continue  # windows that begin further to the left aren't asked for
         begin = low
         for k in range(low, high + 1):
             if k == high or agree[k] == depth:
                 if k > begin:
-                    todo.append((begin, k, depth + 1))
+                    todo.append((begin, k, max(base, depth + 1)))
                 begin = k + 1
     return out
 
