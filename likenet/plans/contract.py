@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.partition_ids import modulo, sub_modulo
 from ..operators import graph, sparse
 from ..sources import cells, prepare
-from ..sources.shared import materialize
+from ..sources.shared import materialize, shared_path
 from . import methods, shuffle_bench, verify
+from .options import options
 
 N_A, N_B, C, EPSILON = 25, 50, 0.8, 0.01
 N = N_A + N_B
@@ -156,6 +157,62 @@ def random_bipartite(spark, sf_dir):
     return prepare.random_bipartite(spark, 37, 13, 700, seed=7)
 
 
+def row_slices(spark, sf_dir):
+    return rounded(graph.row_slices(graph.normalised(edges_of(spark, sf_dir)), 3), "w")
+
+
+def text_sink(spark, sf_dir):
+    path = shared_path(spark, "cells")
+    cells.write_cells(edges_of(spark, sf_dir), path)
+    return cells.read_graph(spark, path)
+
+
+def prepared(spark, sf_dir):
+    """Both matrices that a run starts from, by way of their files."""
+    paths = shared_path(spark, "similarity"), shared_path(spark, "identity")
+    prepare.prepare(spark, N_A, N_B, *paths)
+    start, identity = (cells.read_cells(spark, p) for p in paths)
+    return start.withColumn("kind", F.lit("similarity")).unionByName(identity.withColumn("kind", F.lit("identity")))
+
+
+def run_by_options(spark, sf_dir):
+    """A whole run as a properties file says: files of edges and matrices in, two steps of ``mapreduce``."""
+    data, start, identity = (shared_path(spark, x) for x in ("cells", "similarity", "identity"))
+    cells.write_cells(edges_of(spark, sf_dir), data)
+    prepare.prepare(spark, N_A, N_B, start, identity)
+    settings = {
+        "graph.data": data, "graph.size": str(N), "graphA.size": str(N_A), "graphB.size": str(N_B), "iterations": "2", "partitions": "2",
+        "impl.type": "mapreduce", "initSimMatPath": start, "diagSimMatPath": identity,
+    }
+    return rounded(methods.run(spark, options(settings)))
+
+
+def same_side(spark, sf_dir):
+    return rounded(graph.check_sides(_filled(spark), N_A))
+
+
+def repeated_edges(spark, sf_dir):
+    """Adjacency of a graph in which some edges are given twice, with other weights."""
+    edges = edges_of(spark, sf_dir)
+    again = edges.where(F.col("dst") % 3 == 0).withColumn("w", F.col("w") + 1.5)
+    both = edges.unionByName(again)
+    weighted, unit = (rounded(graph.normalised(both, weighted=x), "w") for x in (True, False))
+    return weighted.join(unit.withColumnRenamed("w", "unit_w"), ["u", "v"])
+
+
+def rwr_weighted_t2(spark, sf_dir):
+    return rounded(methods.pagerank(edges_of(spark, sf_dir), prepare.identity(spark, N), 2, C))
+
+
+def dense_matrix_t2(spark, sf_dir):
+    """The dense second opinion itself; its graph has 75 vertices at any scale factor."""
+    edges = [tuple(r) for r in edges_of(spark, sf_dir).select("src", "dst", "w").collect()]
+    dense = verify.dense_similarity(edges, N, 2, C)
+    known = sorted({v for a, b, _ in edges for v in (a, b)})
+    found = [(i, j, float(dense[i, j])) for i in known for j in known if dense[i, j]]
+    return rounded(spark.createDataFrame(found, "i int, j int, score double"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q01_parse_cells": parse_cells,
     "q02_init_similarity": lambda spark, sf_dir: prepare.init_similarity(spark, 37, 13),
@@ -179,6 +236,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q20_column_pack": column_pack,
     "q21_verify_matrix": verify_matrix,
     "q22_random_bipartite": random_bipartite,
+    "q23_row_slices": row_slices,
+    "q24_text_sink": text_sink,
+    "q25_prepared": prepared,
+    "q26_run_by_options": run_by_options,
+    "q27_same_side": same_side,
+    "q28_repeated_edges": repeated_edges,
+    "q29_rwr_weighted_T2": rwr_weighted_t2,
+    "q30_dense_matrix_T2": dense_matrix_t2,
 }
 
 
@@ -306,4 +371,28 @@ ORACLE_SQL: dict[str, str] = {
         _EDGES, _BOTH, _UADJ, _IDENTITY, ("wadj", "SELECT * FROM uadj"), *(x for k in (1, 2) for x in ((f"m{k}", _left(f"s{k - 1}" if k > 1 else "ident")), (f"s{k}", _right(f"m{k}")))),
         last=f"SELECT i, j, {_score()}, round(score + 1.3e-9::DOUBLE, 8) AS other, true AS agrees FROM s2",
     ),
+    "q22_random_bipartite": _with(
+        ("draws", "SELECT md5('7:' || id) AS h FROM range(700) t(id)"),
+        ("parts", "SELECT ('0x' || substr(h, 1, 8))::BIGINT / 4294967296::DOUBLE AS a, ('0x' || substr(h, 9, 8))::BIGINT / 4294967296::DOUBLE AS b FROM draws"),
+        last="SELECT DISTINCT CAST(floor(a * 37) AS INTEGER) AS src, CAST(floor(b * 13) + 37 AS INTEGER) AS dst, 1::DOUBLE AS w FROM parts",
+    ),
+    "q23_row_slices": _with(_EDGES, _BOTH, _WADJ, last=f"SELECT u, v, {_score('w')}, CAST(u % 3 AS INTEGER) AS slice FROM wadj"),
+    "q24_text_sink": _with(_EDGES, last="SELECT * FROM edges"),
+    "q25_prepared": _with(_START, _IDENTITY, last="SELECT *, 'similarity' AS kind FROM start UNION ALL SELECT *, 'identity' FROM ident"),
+    "q26_run_by_options": _with(
+        *_UNIT, _IDENTITY, *((f"s{k}", f"{_expand(f's{k - 1}' if k > 1 else 'start')} UNION ALL SELECT * FROM ident") for k in (1, 2)), last=_cells("s2")
+    ),
+    "q27_same_side": _with(_START, _UPPER, _FILLED, last=_cells("filled")),
+    "q28_repeated_edges": _with(
+        (_EDGES[0] + "_once", _EDGES[1]),
+        ("edges", "SELECT * FROM edges_once UNION ALL SELECT src, dst, w + 1.5 FROM edges_once WHERE dst % 3 = 0"),
+        _BOTH,
+        _DEG,
+        ("cells", "SELECT u, b.v, max(w) / any_value(d) AS w, count(*) / any_value(d)::DOUBLE AS unit_w FROM both_ways b JOIN deg ON deg.v = b.v GROUP BY u, b.v"),
+        last=f"SELECT u, v, {_score('w')}, {_score('unit_w')} FROM cells",
+    ),
+    "q29_rwr_weighted_T2": _with(_EDGES, _BOTH, ("uadj", _WADJ[1]), _IDENTITY, ("x1", _restart("ident")), ("x2", _restart("x1")), last=_cells("x2")),
+    "q30_dense_matrix_T2": _with(
+        _EDGES, _BOTH, _WADJ, _IDENTITY, *(x for k in (1, 2) for x in ((f"m{k}", _left(f"s{k - 1}" if k > 1 else "ident")), (f"s{k}", _right(f"m{k}")))), last=_cells("s2")
+    ),
 }

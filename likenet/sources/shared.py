@@ -35,6 +35,15 @@ def _on_cluster(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A path that isn't taken, in a new folder inside the shared one; the folder goes when the session ends."""
+    folder = f"{shared_dir(spark)}/likenet-{label}-{uuid.uuid4().hex}"
+    files, at = _on_cluster(spark, folder)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{folder}/rows"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
