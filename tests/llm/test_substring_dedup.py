@@ -146,3 +146,22 @@ def test_second_hash_against_direct_sums():
             if shift + 50 <= p <= shift + 300:
                 assert around.setdefault((p - shift, g), h) == h
     assert len(around) > 3 and len(set(around.values())) == len(around)
+
+
+@pytest.mark.parametrize("n", [2, 3, 40, 150])
+def test_windows_of_large_groups_and_ranges(n):
+    rng, length = random.Random(n), 25
+    for _ in range(20):
+        make = lambda most: bytes(rng.choice(b"ab" if rng.random() < 0.1 else b"a") for _ in range(rng.choice([0, most // 2, most, most])))
+        lefts, rights = [make(20) for _ in range(n)], [b"gram" + make(21) for _ in range(n)]
+        earlier = rng.random() < 0.5
+        places = [rng.randrange(n) for _ in range(n)] if earlier else list(range(n))
+        least, most = sorted(rng.randrange(21) for _ in range(2))
+        for a, spans in enumerate(repeated_windows(lefts, rights, length, places, earlier, least, most)):
+            got = {x for p, q in spans for x in range(least, most + 1) if p <= -x and length - x <= q}
+            want = set()
+            for b in range(n):
+                if places[b] < places[a] or (not earlier and a != b):
+                    x, y = common_prefix(lefts[a], lefts[b]), common_prefix(rights[a], rights[b])
+                    want |= {w for w in range(least, most + 1) if w <= x and length - w <= y}
+            assert got == want
