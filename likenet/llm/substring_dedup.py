@@ -1,11 +1,13 @@
 """Deduplication of repeated byte strings, by longest-previous-factor values over a sparse suffix order.
 
 A string of ``length`` bytes (a window) is repeated if it also starts anywhere else. Suffixes are not sorted at every byte
-but at anchors: of every window the ``GRAM``-byte substring of least hash is an anchor, so two equal windows have
-an anchor at the same place inside, and it is enough to compare anchors that share their substring.
+but at anchors: of every window the ``GRAM``-byte substring of least hash, the leftmost of equals, is the anchor, so two equal windows have
+their anchor at the same place inside, and it is enough to compare anchors that share their substring. Substrings that repeat themselves after
+``PERIODS`` bytes or less ("the the the ") come after all others, so they are anchors of windows that hold nothing else only: junk that many texts share, between
+other text each time, then has few surroundings.
 
-1. Each partition finds its anchors with a hash of the substring and one of the whole surroundings, which hold every window
-   of the anchor. Anchors of equal surroundings are a class, all of whose windows repeat. A partition settles its own
+1. Each partition finds its anchors with a hash of the substring and one of the whole surroundings, which are the windows
+   of the anchor, from the first to the last. Anchors of equal surroundings are a class, all of whose windows repeat. A partition settles its own
    classes and sends one member of each; so a passage that fills a third of the rows is sent once per partition. (The hash of surroundings folds two
    of independent kinds, one modulo 2^64 and one modulo a prime, and goes with that of the substring.)
 2. Anchors meet by substring, packed in buckets. Classes that span partitions are settled. Where one substring has several classes,
@@ -27,6 +29,7 @@ place) stays. Strings are judged on the input in either case.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import materialize, mix64, small_batches
 
 GRAM = 32
+#: A substring with a period of so many bytes or less is an anchor only where there is no other.
+PERIODS = 16
 #: Anchors that are put in order in one task; beyond, they are split by more of their surroundings.
 MOST_CLASSES = 20_000
 #: Documents of the sample that tells substrings with very many classes: a fiftieth, within these bounds.
@@ -90,6 +95,20 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return values
 
 
+def _periodic(raw: np.ndarray) -> np.ndarray:
+    """Whether the substring of ``GRAM`` bytes that begins at each place has a period of at most ``PERIODS``."""
+    n = len(raw) - GRAM + 1
+    out = np.zeros(n, bool)
+    for p in range(1, PERIODS + 1):
+        same = np.zeros(len(raw) - p + 1, np.int32)
+        np.cumsum(raw[p:] == raw[:-p], out=same[1:])
+        out |= same[GRAM - p : GRAM - p + n] - same[:n] == GRAM - p
+    return out
+
+
+_PLACE = np.uint64((1 << 32) - 1)
+
+
 class AnchorFinder:
     def __init__(self, length: int):
         if length <= GRAM:
@@ -98,43 +117,65 @@ class AnchorFinder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Of the anchors of all texts: number of the text, place, hash of the substring, hash of the surroundings."""
-        ends = np.cumsum([len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        n, none = len(raw), (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-        if n < self.length:
-            return none
-        with np.errstate(over="ignore"):
-            return self._find(raw, starts, ends, n, none)
+        return self.surrounded(texts)[:4]
 
-    def _find(self, raw, starts, ends, n, none):
+    def surrounded(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """The same, and how many bytes the surroundings reach to the left of the place, and to the right."""
+        with np.errstate(over="ignore"):
+            found, raw = self._find(texts, False)
+            if not len(found[0]):
+                return found
+            # Texts with anchors that are periodic are looked at again. In all others these couldn't be anchors anyway.
+            grams = raw[(found[1] + self._starts(texts)[found[0]])[:, None] + np.arange(GRAM)]
+            dull = np.zeros(len(grams), bool)
+            for p in range(1, PERIODS + 1):
+                dull |= (grams[:, p:] == grams[:, :-p]).all(1)
+            if not dull.any():
+                return found
+            again = np.unique(found[0][dull])
+            others = ~np.isin(found[0], again)
+            second = self._find([texts[k] for k in again.tolist()], True)[0]
+        return tuple(np.concatenate([x[others], y]) for x, y in zip(found, (again[second[0]], *second[1:]), strict=True))
+
+    @staticmethod
+    def _starts(texts: list[bytes]) -> np.ndarray:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        return np.cumsum(sizes) - sizes
+
+    def _find(self, texts: list[bytes], told_apart: bool) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """What ``surrounded`` returns, and the bytes of all texts; periodic substrings come last if they are ``told_apart``."""
+        starts, raw = self._starts(texts), np.frombuffer(b"".join(texts), np.uint8)
+        n, ends = len(raw), starts + [len(t) for t in texts]
+        none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        good = ends - starts >= self.length
+        if not good.any():
+            return none, raw
         up, back = _power_tables(n + 1)
-        letters = _BYTE[raw]
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(letters * up[:n], out=prefix[1:])
+        np.cumsum(_BYTE[raw] * up[:n], out=prefix[1:])
         grams = mix64((prefix[GRAM:] - prefix[:-GRAM]) * back[: n - GRAM + 1])
-        least = _sliding(grams, self.width, np.minimum)  # of the window that begins there
+        # By periodicity, 31 bits of the hash, and place: what a window chooses depends on its bytes alone.
+        rank = (grams >> np.uint64(33) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
+        if told_apart:
+            rank[_periodic(raw)] |= np.uint64(1 << 63)
+        least = _sliding(rank, self.width, np.minimum)  # of the window that begins there
         # Windows that run over the end of a text don't count.
         inside = np.zeros(n + 1, np.int32)
-        good = ends - starts >= self.length
-        if not good.any():
-            return none
         np.add.at(inside, starts[good], 1)
         np.add.at(inside, ends[good] - self.length + 1, -1)
-        least = np.where(np.cumsum(inside)[: len(least)] > 0, least, np.uint64(0))
-        edge = np.zeros(self.width - 1, np.uint64)
-        greatest = _sliding(np.concatenate([edge, least, edge]), self.width, np.maximum)
-        at = np.flatnonzero(greatest == grams)
-        of = np.searchsorted(ends, at, side="right")
-        low = np.maximum(starts[of], at - (self.length - GRAM))
-        high = np.minimum(ends[of], at + self.length)
+        window = np.flatnonzero(np.cumsum(inside)[: len(least)] > 0)
+        chosen = (least[window] & _PLACE).astype(np.int64)
+        # The windows of an anchor lie side by side.
+        begins = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        at, low, high = chosen[begins], window[begins], window[np.append(begins[1:], len(window)) - 1] + self.length
         around = mix64((prefix[high] - prefix[low]) * back[low])
         prime_up, prime_back = _prime_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_LETTER[raw] * prime_up[:n] % _PRIME, out=sums[1:])
         around = mix64(around ^ ((sums[high] - sums[low]) % _PRIME * prime_back[low] % _PRIME) * _STEP)
         around = mix64(around + (at - low).astype(np.uint64) * _STEP + (high - at).astype(np.uint64))
-        return of, at - starts[of], grams[at], around
+        of = np.searchsorted(ends, at, side="right")
+        return (of, at - starts[of], grams[at], around, at - low, high - at), raw
 
 
 def _merge_spans(spans: np.ndarray) -> np.ndarray:
@@ -148,7 +189,7 @@ def _merge_spans(spans: np.ndarray) -> np.ndarray:
 
 
 # What a partition sends for each anchor.
-_SENT = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("place", "<i4"), ("size", "<i4"), ("check", "<i8"), ("many", "u1")])
+_SENT = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("place", "<i4"), ("before", "<i4"), ("after", "<i4"), ("check", "<i8"), ("many", "u1")])
 _ROWS = "doc long, check long, kind int, gram long, spans binary"
 _MET = ["bucket", "doc", "check", "kind", "gram", "spans"]
 SPAN, ASK, SHOW, ASK_MANY, SHOW_MANY = range(5)
@@ -182,14 +223,14 @@ def _span_rows(doc, check, spans: list[bytes]) -> pa.RecordBatch:
 
 def _ask_rows(heads: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     """Rows by which anchors ask for their surroundings."""
-    places = pa.array([p.tobytes() for p in heads["place"].astype("<i4")], pa.binary())
+    places = pa.array([p.tobytes() for p in np.column_stack([heads[f] for f in ("place", "before", "after")]).astype("<i4")], pa.binary())
     arrays = [pa.array(heads["doc"]), pa.array(heads["check"]), pa.array(kind.astype(np.int32)), pa.array(heads["gram"].view(np.int64)), places]
     return pa.RecordBatch.from_arrays(arrays, ["doc", "check", "kind", "gram", "spans"])
 
 
-def _windows_of(place, size, length: int) -> np.ndarray:
-    """The surroundings, as spans, of anchors at these places of texts of these sizes."""
-    return np.column_stack([np.maximum(0, place - (length - GRAM)), np.minimum(size, place + length)]).astype("<i4")
+def _windows_of(rows: np.ndarray) -> np.ndarray:
+    """The surroundings of anchors, as spans."""
+    return np.column_stack([rows["place"] - rows["before"], rows["place"] + rows["after"]]).astype("<i4")
 
 
 def _find_pass(length: int, first_stays: bool, buckets: int, large: np.ndarray | None = None):
@@ -200,11 +241,11 @@ def _find_pass(length: int, first_stays: bool, buckets: int, large: np.ndarray |
     large = np.zeros(0, np.uint64) if large is None else large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, parts, docs, checks, sizes = AnchorFinder(length), [], [], [], []
+        find, parts, docs, checks = AnchorFinder(length), [], [], []
 
         def take(texts: list[bytes], base: int) -> None:
-            of, place, gram, around = find(texts)
-            parts.append((of + base, place.astype(np.int32), gram, around))
+            of, place, gram, around, before, after = find.surrounded(texts)
+            parts.append((of + base, gram, around, *(x.astype(np.int32) for x in (place, before, after))))
 
         for batch in batches:
             block, filled, base = [], 0, len(docs)
@@ -216,15 +257,15 @@ def _find_pass(length: int, first_stays: bool, buckets: int, large: np.ndarray |
                 filled += len(text)
                 docs.append(doc)
                 checks.append(check)
-                sizes.append(len(text))
             if block:
                 take(block, base)
         if not parts:
             return
         of = np.concatenate([p[0] for p in parts])
         rows = np.zeros(len(of), _SENT)
-        rows["place"], rows["gram"], rows["around"] = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-        rows["doc"], rows["check"], rows["size"] = np.array(docs, np.int64)[of], np.array(checks, np.int64)[of], np.array(sizes, np.int32)[of]
+        for k, name in enumerate(("gram", "around", "place", "before", "after"), 1):
+            rows[name] = np.concatenate([p[k] for p in parts])
+        rows["doc"], rows["check"] = np.array(docs, np.int64)[of], np.array(checks, np.int64)[of]
         parts.clear()
         order = np.lexsort((rows["place"], rows["doc"], rows["around"], rows["gram"]))
         rows, of = rows[order], of[order]
@@ -233,8 +274,7 @@ def _find_pass(length: int, first_stays: bool, buckets: int, large: np.ndarray |
         sent = rows[begins]
         sent["many"] = many
         # Settled spans, merged by document.
-        mine = rows[settled]
-        spans, of = _windows_of(mine["place"].astype(np.int64), mine["size"], length), of[settled]
+        spans, of = _windows_of(rows[settled]), of[settled]
         order = np.lexsort((spans[:, 0], of))
         spans, of = spans[order], of[order]
         cuts = np.flatnonzero(np.diff(of)) + 1
@@ -284,7 +324,7 @@ def _settled(rows: np.ndarray, begins: np.ndarray, many: np.ndarray, first_stays
     return out
 
 
-def _bucket_pass(length: int, first_stays: bool, most_classes: int):
+def _bucket_pass(first_stays: bool, most_classes: int):
     """Of the rows of ``_find_pass``, sorted by bucket: settled spans, and who has to show surroundings."""
 
     def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +333,7 @@ def _bucket_pass(length: int, first_stays: bool, most_classes: int):
         begins, many = _classes(rows)
         mine = rows[_settled(rows, begins, many, first_stays)]
         if len(mine):
-            spans = _windows_of(mine["place"].astype(np.int64), mine["size"], length)
-            yield _span_rows(mine["doc"], mine["check"], [s.tobytes() for s in spans])
+            yield _span_rows(mine["doc"], mine["check"], [s.tobytes() for s in _windows_of(mine)])
         heads = rows[begins]
         new = np.flatnonzero(np.concatenate([[True], heads["gram"][1:] != heads["gram"][:-1]])) if len(heads) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(new, len(heads)))
@@ -363,9 +402,9 @@ def _surroundings_pass(length: int):
             for doc, check, body, asked in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 back = body[::-1]
                 for ask in asked:
-                    place, kind = int.from_bytes(ask["spans"], "little"), ask["kind"]
+                    (place, before, after), kind = struct.unpack("<3i", ask["spans"]), ask["kind"]
                     at = len(body) - place
-                    left, right = back[at : at + reach], body[place : place + length]
+                    left, right = back[at : at + before], body[place : place + after]
                     if kind >= ASK_MANY:
                         out += [(doc, check, kind - 2, gram, None, place, x, y, left, right) for gram, x, y in _parts(0, reach, left, right, length)]
                     else:
@@ -660,7 +699,7 @@ def substring_dedup(
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     large = _large_grams(base.select("doc", "check", "body"), length, most_classes)
     sent = base.select("doc", "check", "body").mapInArrow(_find_pass(length, first_stays, buckets, large), "bucket int, " + _ROWS)
-    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pass(length, first_stays, most_classes), _ROWS)
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pass(first_stays, most_classes), _ROWS)
     met = materialize(met, "anchors")
 
     # Sets: rows that repeat an identifier and a text ask, and are told, the same.

@@ -165,3 +165,33 @@ def test_windows_of_large_groups_and_ranges(n):
                     x, y = common_prefix(lefts[a], lefts[b]), common_prefix(rights[a], rights[b])
                     want |= {w for w in range(least, most + 1) if w <= x and length - w <= y}
             assert got == want
+
+
+def periodic_junk(n):
+    """Texts with runs of a repeated word, of any length and phase, between words of their own."""
+    rng = random.Random(21)
+    make = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    return [make(rng.randint(60, 200)) + (rng.choice(["the ", "und ", "=", "menteramente "]) * 90)[rng.randint(0, 9) : rng.randint(60, 350)] + make(rng.randint(60, 200)) for _ in range(n)]
+
+
+def test_periodic_junk_has_few_surroundings():
+    """Runs of one word lie in many texts, between other text each time; their substrings must not gather a class for each place of each text."""
+    texts = [t.encode() for t in periodic_junk(300)]
+    of, place, gram, around = AnchorFinder(100)(texts)
+    classes = {}
+    for g, a in zip(gram.tolist(), around.tolist()):
+        classes.setdefault(g, set()).add(a)
+    assert len(place) > 300 and max(map(len, classes.values())) <= 40
+    # Every window has one anchor, and surroundings are an anchor's windows.
+    of, place, _, _, before, after = AnchorFinder(100).surrounded(texts)
+    for k, text in enumerate(texts):
+        windows = [w for p, b, a in zip(place[of == k], before[of == k], after[of == k]) for w in range(p - b, p + a - 99)]
+        assert sorted(windows) == list(range(len(text) - 99))
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_periodic_junk_against_brute_force(spark, keep):
+    rows = list(enumerate(periodic_junk(60)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup(docs, 100, keep, most_classes=5).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows, 100, keep)
