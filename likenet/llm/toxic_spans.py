@@ -19,6 +19,7 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain as joined
 from string import punctuation
 
 import numpy as np
@@ -150,6 +151,62 @@ class _Places:
         return table.ravel()[self.flat]
 
 
+class _Told(dict):
+    """Numbers of tokens, and by number what a token's weights add up to: for itself, for the one behind it, for the one before it.
+
+    Most distinct tokens are seen once, so the sums are made without making their features: those of beginnings and of endings are added up beforehand,
+    and a beginning that no longer one follows ends the search.
+    """
+
+    def __init__(self, chain: "Chain"):
+        super().__init__()
+        self.own, self.behind, self.ahead = array("d"), array("d"), array("d")
+        self.bias = float(chain.weight[-1])
+        self.words, self.shapes, heads, tails, self.near_heads = {}, {}, {}, {}, {}
+        for f, own, behind, ahead in zip(chain.index, chain.weight.tolist(), chain.behind.tolist(), chain.ahead.tolist(), strict=False):
+            if f[0] == "^":
+                self.shapes[f] = own
+            elif f[0] == "*":
+                tails[f[1:]] = own
+            elif f[-1] == "*":
+                heads[f[:-1]] = own
+                self.near_heads[f[:-1]] = behind, ahead
+            else:
+                self.words[f] = own, behind, ahead
+        self.lower = self.shapes.get("^a", 0.0)
+        part = {x[:k] for x in heads for k in PREFIXES if k <= len(x)}
+        self.heads = {x: sum(heads.get(x[:k], 0.0) for k in PREFIXES if k <= len(x)) for x in part}
+        part = {x[-k:] for x in tails for k in SUFFIXES if k <= len(x)}
+        self.tails = {x: sum(tails.get(x[-k:], 0.0) for k in SUFFIXES if k <= len(x)) for x in part}
+
+    def __missing__(self, token: str) -> int:
+        word, none = normal(token), (0.0, 0.0, 0.0)
+        own, behind, ahead = self.words.get(word, none) if word else none
+        if word:
+            more, size, told, heads, tails = 0.0, len(word), 0.0, self.heads, self.tails
+            for k in PREFIXES:
+                if k > size or (told := heads.get(word[:k])) is None:
+                    break
+                more = told
+            own += more
+            more = 0.0
+            for k in SUFFIXES:
+                if k >= size or (told := tails.get(word[-k:])) is None:
+                    break
+                more = told
+            own += more
+            if near := self.near_heads.get(word[:4]):
+                behind, ahead = behind + near[0], ahead + near[1]
+        own += self.lower if token.islower() and token.isalpha() else self.shapes.get(shape(token), 0.0)
+        number = len(self.own)
+        self.own.append(own + self.bias)
+        self.behind.append(behind)
+        self.ahead.append(ahead)
+        if len(token) <= 40:
+            self[token] = number
+        return number
+
+
 class Chain:
     """Two tags. Weights of features for tag 1 against tag 0 (a token's own, its predecessor's, its successor's), of tag pairs, and of the first tag."""
 
@@ -161,33 +218,33 @@ class Chain:
         self.behind, self.ahead = np.zeros(len(names)), np.zeros(len(names))  # of the token before, of the one after
         self.pair = np.zeros((2, 2))
         self.begin = 0.0
-        self.known: dict[str, tuple[float, float, float]] = {}
+        self.known: _Told | None = None
         self.final = np.zeros(3)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": None}
 
     def numbers(self, found: list[str]) -> list[int]:
         return [k for f in found if (k := self.index.get(f)) is not None]
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """The log potential of tag 1 against tag 0 of each token."""
-        known, out = self.known, []
-        for w in words:
-            e = known.get(w)
-            if e is None:
-                near = self.numbers(beside(w))
-                e = float(self.weight[-1] + self.weight[self.numbers(features(w))].sum()), float(self.behind[near].sum()), float(self.ahead[near].sum())
-                if len(w) <= 40:
-                    if len(known) > 300_000:
-                        known.clear()
-                    known[w] = e
-            out.append(e)
-        told = np.array(out).reshape(-1, 3)
-        field = told[:, 0].copy()
-        field[1:] += told[:-1, 1]
-        field[:-1] += told[1:, 2]
-        return field
+        return self.fields([words])[0]
+
+    def fields(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The same for the tokens of several texts."""
+        if self.known is None or len(self.known.own) > 300_000:
+            self.known = _Told(self)
+        sizes = np.array([len(words) for words in texts], np.int64)
+        ends = np.cumsum(sizes)
+        number = np.fromiter(map(self.known.__getitem__, joined.from_iterable(texts)), np.int64, int(sizes.sum()))
+        own, behind, ahead = (np.frombuffer(x) for x in (self.known.own, self.known.behind, self.known.ahead))
+        inner = np.ones(len(number), bool)  # has a token of its text before it
+        inner[(ends - sizes)[sizes > 0]] = False
+        field = own[number]
+        field[1:] += behind[number[:-1]] * inner[1:]
+        field[:-1] += ahead[number[1:]] * inner[1:]
+        return np.split(field, ends[:-1]) if texts else []
 
     def marginals(self, emissions: list[np.ndarray], pairs: bool = False):
         """The chance of tag 1 for each token of each sequence; with ``pairs``, also expected counts of tag pairs."""
@@ -239,7 +296,7 @@ class Chain:
             mean, square = 0.8 * mean + 0.2 * grad, 0.95 * square + 0.05 * grad**2
             params = params - 0.5 * (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-8)
         sample.put(params)
-        self.known = {}
+        self.known = None
         del sample
         self._fit_final(self.summaries(texts), labels)
         return self
@@ -267,8 +324,7 @@ class Chain:
     def tagged(self, texts: list[str]) -> list[np.ndarray]:
         """Marginals of all tokens of each text."""
         parts, of = [], []
-        for k, text in enumerate(texts):
-            e = self.emissions(text.split())
+        for k, e in enumerate(self.fields([text.split() for text in texts])):
             for a in range(0, max(len(e), 1), SEGMENT):
                 low = max(0, a - CONTEXT)
                 parts.append(e[low : a + SEGMENT + CONTEXT])

@@ -144,3 +144,25 @@ def test_few_labels(spark, labels, score):
 
 def test_spans():
     assert spans("a bad  bad b bad", np.array([0, 0.9, 0.8, 0, 0.5])) == [(2, 10), (13, 16)]
+
+
+def test_sums_of_weights_make_no_features(monkeypatch):
+    """New tokens, which most distinct ones are, get what their features add up to without a list of features for each."""
+    import likenet.llm.toxic_spans as module
+
+    rng = random.Random(8)
+    tokens = ["".join(rng.choices("abcAB9.*^-é", k=rng.randint(1, 12))) for _ in range(3000)] + ["...", "x" * 60, "ab", "abc", "Abc", "12"]
+    names = sorted({f for w in tokens for f in module.features(w) if rng.random() < 0.3})
+    c = Chain(names)
+    c.weight, c.behind, c.ahead = (np.array([rng.gauss(0, 1) for _ in range(len(names) + k)]) for k in (1, 0, 0))
+    lines, want = [tokens[k : k + 7] for k in range(0, len(tokens), 7)] + [[], tokens[:1]], []
+    for line in lines:
+        own = [c.weight[-1] + c.weight[c.numbers(module.features(w))].sum() for w in line]
+        near = [c.numbers(module.beside(w)) for w in line]
+        for k in range(len(line)):
+            own[k] += c.behind[near[k - 1]].sum() * (k > 0) + (c.ahead[near[k + 1]].sum() if k + 1 < len(line) else 0.0)
+        want.append(own)
+    monkeypatch.setattr(module, "features", None)
+    for _ in range(2):
+        assert all(np.allclose(a, b) for a, b in zip(c.fields(lines), want, strict=True))
+    assert np.allclose(c.emissions(lines[0]), want[0])
