@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, materialize, shared_dir
 
-__all__ = ["bodies", "discard", "held_out_column", "hot_rows", "join_told", "materialize", "mix64", "read_documents", "shared_dir", "small_batches", "text_frame"]
+__all__ = ["bodies", "discard", "held_out_column", "hot_rows", "join_told", "materialize", "mix64", "read_documents", "shared_dir", "small_batches", "text_frame", "trimmed"]
 
 
 _SHIPPED: set[str] = set()
@@ -47,6 +50,47 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
             spark.conf.set(key, str(most))
 
 
+#: A worker with less than this gives nothing back: that isn't worth the time.
+_SMALL_WORKER = 120 << 20
+
+
+def give_back(least: int = _SMALL_WORKER) -> None:
+    """Return what this process has freed to the system, where it holds over ``least`` bytes."""
+    pages = Path("/proc/self/statm")
+    if pages.exists() and int(pages.read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") < least:
+        return
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+#: What operators remember in a worker, by operator.
+MEMORIES: dict[str, dict] = {}
+
+
+def drop_memories(keep: str) -> None:
+    """Forget what operators other than ``keep`` remember in this process."""
+    for operator, memory in MEMORIES.items():
+        if operator != keep:
+            memory.clear()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = ""):
+    """A function for mapInArrow whose worker gives freed memory back when it is done with a partition.
+
+    Workers are kept for the next stages, and while they wait, or do something small, they would keep what their largest partition took, beside the JVM.
+    What another operator remembers goes before it begins.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memories(operator)
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

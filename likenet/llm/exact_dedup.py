@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bodies, join_told, materialize, small_batches, text_frame
+from .common import bodies, join_told, materialize, small_batches, text_frame, trimmed
 
 RUN_SCHEMA = "digest binary, n_bytes long, best long, copies long, slot int, run int"
 _NO_ID = np.iinfo(np.int64).min
@@ -42,7 +42,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ["doc_id", "digest", "n_bytes"],
             )
 
-    return text_frame(docs, id_col, text_col).mapInArrow(digests, "doc_id long, digest binary, n_bytes long")
+    return text_frame(docs, id_col, text_col).mapInArrow(trimmed(digests), "doc_id long, digest binary, n_bytes long")
 
 
 def _merge(keep: str):
@@ -113,10 +113,10 @@ def tree_merge(prints: DataFrame, n_rows: int, keep: str = "max", fan_in: int =
         F.floor(head * width / F.lit(1 << 32)).cast("int").alias("slot"),
         "run",
     )
-    runs = runs.sortWithinPartitions(*order).mapInArrow(merge, RUN_SCHEMA)
+    runs = runs.sortWithinPartitions(*order).mapInArrow(trimmed(merge), RUN_SCHEMA)
     while n_runs > 1:
         runs = runs.withColumn("run", (F.col("run") / fan_in).cast("int"))
-        runs = runs.repartition(width, "slot", "run").sortWithinPartitions(*order).mapInArrow(merge, RUN_SCHEMA)
+        runs = runs.repartition(width, "slot", "run").sortWithinPartitions(*order).mapInArrow(trimmed(merge), RUN_SCHEMA)
         n_runs = -(-n_runs // fan_in)
     return runs.select("digest", "n_bytes", "best", "copies")
 

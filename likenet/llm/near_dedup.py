@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_told, materialize, mix64, small_batches, text_frame
+from .common import discard, join_told, materialize, mix64, small_batches, text_frame, trimmed
 
 BANDS, ROWS, BASE = 57, 6, 1.001
 #: So many identifiers of wanted texts are broadcast (16 bytes each); for more, texts are moved.
@@ -253,7 +253,7 @@ def _sets(nodes: DataFrame, classes: DataFrame, source: DataFrame, width: int) -
         texts = texts.join(F.broadcast(ours.select("rep_hash")), F.col("text_hash") == F.col("rep_hash"), "left_semi")
     texts = texts.dropDuplicates(["doc_id", "text_hash"])
     found = texts.join(ours.hint("shuffle_hash"), same_row).select("node", "set_key", "body")
-    return materialize(found.mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"]), "sets")
+    return materialize(found.mapInArrow(trimmed(sets), "node long, elements binary").dropDuplicates(["node"]), "sets")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int, best: bool) -> DataFrame:
@@ -264,13 +264,13 @@ def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame, width: int,
     told = classes.select("node", "n_shingles", "registers")
     a = told.toDF("a", "n_a", "reg_a")
     b = told.toDF("b", "n_b", "reg_b")
-    left = pairs.join(a, "a").join(b, "b").select("a", "n_a", "reg_a", "b", "n_b", "reg_b").mapInArrow(_by_likelihood(percent), "a long, b long, same long")
+    left = pairs.join(a, "a").join(b, "b").select("a", "n_a", "reg_a", "b", "n_b", "reg_b").mapInArrow(trimmed(_by_likelihood(percent)), "a long, b long, same long")
     if best:
         left = left.groupBy("b").agg(F.max(F.struct("same", "a")).alias("top")).select("top.a", "b")
     left = materialize(left.select("a", "b"), "pairs")
     full = _sets(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), classes, source, width)
     checked = left.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").select("a", "set_a", "b", "set_b")
-    out = materialize(checked.mapInArrow(_by_sets(percent), "a long, b long"), "verified")
+    out = materialize(checked.mapInArrow(trimmed(_by_sets(percent)), "a long, b long"), "verified")
     discard(full)
     discard(left)
     return out
@@ -469,7 +469,7 @@ def near_groups(
     small_batches(spark, 1000)
     source = text_frame(docs, id_col, text_col).select("doc_id", F.xxhash64("body").alias("text_hash"), "body")
     schema = "doc_id long, text_hash long, n_shingles long, set_key binary, registers binary"
-    told = materialize(source.mapInArrow(_digest_pass(width, bands * rows), schema), "sketches")
+    told = materialize(source.mapInArrow(trimmed(_digest_pass(width, bands * rows)), schema), "sketches")
     classes = told.where("n_shingles > 0").groupBy("set_key").agg(
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))).alias("known"),
         F.min(F.struct(F.lit(None).cast("long").alias("rep_id"), F.col("text_hash").alias("rep_hash"))).alias("any"),
@@ -481,7 +481,7 @@ def near_groups(
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     sketched = classes.where(F.length("registers") > 0).select("node", "n_shingles", "registers")
-    in_bands = sketched.mapInArrow(_band_pass(bands, rows), "band long, node long, n_shingles long")
+    in_bands = sketched.mapInArrow(trimmed(_band_pass(bands, rows)), "band long, node long, n_shingles long")
     leaders = in_bands.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("met")).where("met > 1")
     met = materialize(in_bands.join(leaders, "band").select("band", "node", "n_shingles", "lead", "met"), "buckets")
     close = 100 * F.least("n_shingles", "lead.n_shingles") >= percent * F.greatest("n_shingles", "lead.n_shingles")
@@ -490,15 +490,15 @@ def near_groups(
     labels = components(links)
     compare, told_of = _Blocks(percent, bands, rows), classes.select("node", "n_shingles", "registers")
     link, place = "a long, b long", "band long, x int, y int, side int, node long, label long"
-    across = _gathered(_blocks(met, labels, classes).join(told_of, "node")).mapInArrow(compare.likeliest, link).distinct()
+    across = _gathered(_blocks(met, labels, classes).join(told_of, "node")).mapInArrow(trimmed(compare.likeliest), link).distinct()
     more = _verify(across, classes, source, width, percent, best=False)
     if more.limit(1).count():
         links = links.union(more)
         labels = components(links)
-    doubtful = materialize(_gathered(_blocks(met, labels, classes).join(told_of, "node")).mapInArrow(compare.doubtful, place), "doubtful")
+    doubtful = materialize(_gathered(_blocks(met, labels, classes).join(told_of, "node")).mapInArrow(trimmed(compare.doubtful), place), "doubtful")
     if doubtful.limit(1).count():
         full = _sets(doubtful.select("node").distinct(), classes, source, width)
-        joined = _gathered(doubtful.join(told_of, "node").join(full, "node"), "elements").mapInArrow(compare.joining, link)
+        joined = _gathered(doubtful.join(told_of, "node").join(full, "node"), "elements").mapInArrow(trimmed(compare.joining), link)
         joined = materialize(joined, "joined")
         if joined.limit(1).count():
             labels = components(links.union(joined))

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches, text_frame
+from .common import MEMORIES, small_batches, text_frame, trimmed
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
+MEMORIES["packing"] = _TOKENIZERS
 
 
 class WordIds:
@@ -286,4 +287,4 @@ def pack(
         if out := packer.close():
             yield emit(out)
 
-    return text_frame(docs, id_col, text_col).mapInArrow(run, PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    return text_frame(docs, id_col, text_col).mapInArrow(trimmed(run, "packing"), PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))

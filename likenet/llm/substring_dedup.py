@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, small_batches
+from .common import materialize, mix64, small_batches, trimmed
 
 GRAM = 32
 #: A substring with a period of so many bytes or less is an anchor only where there is no other.
@@ -660,7 +660,7 @@ def _large_grams(base: DataFrame, length: int, most_classes: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(around.view(np.int64))], ["gram", "around"])
 
     sample = base.where(F.pmod(F.col("check"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else base
-    told = sample.select("body").distinct().mapInArrow(anchors, "gram long, around long").distinct()
+    told = sample.select("body").distinct().mapInArrow(trimmed(anchors), "gram long, around long").distinct()
     told = told.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(2, most_classes * share))
     return np.sort(np.array([r.gram for r in told.select("gram").collect()], np.int64).view(np.uint64))
 
@@ -698,17 +698,17 @@ def substring_dedup(
     base = base.select("doc", F.xxhash64("body").alias("check"), *base.columns[1:])
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     large = _large_grams(base.select("doc", "check", "body"), length, most_classes)
-    sent = base.select("doc", "check", "body").mapInArrow(_find_pass(length, first_stays, buckets, large), "bucket int, " + _ROWS)
-    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pass(first_stays, most_classes), _ROWS)
+    sent = base.select("doc", "check", "body").mapInArrow(trimmed(_find_pass(length, first_stays, buckets, large)), "bucket int, " + _ROWS)
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_bucket_pass(first_stays, most_classes)), _ROWS)
     met = materialize(met, "anchors")
 
     # Sets: rows that repeat an identifier and a text ask, and are told, the same.
     asks = met.where(F.col("kind") != SPAN).groupBy("doc", "check").agg(F.collect_set(F.struct("kind", "gram", "spans")).alias("asked"))
     rest = base.join(asks.hint("shuffle_hash"), ["doc", "check"])
-    rest = rest.select("doc", "check", "body", "asked").mapInArrow(_surroundings_pass(length), _FULL)
+    rest = rest.select("doc", "check", "body", "asked").mapInArrow(trimmed(_surroundings_pass(length)), _FULL)
     found = met.where(F.col("kind") == SPAN).select("doc", "check", "spans")
     for _ in range(max(1, _splits(length))):
-        ordered = rest.repartition("gram").sortWithinPartitions("gram").mapInArrow(_order_pass(length, first_stays, most_classes), _FULL)
+        ordered = rest.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_order_pass(length, first_stays, most_classes)), _FULL)
         ordered = materialize(ordered, "ordered")
         found = found.union(ordered.where(F.col("kind") == SPAN).select("doc", "check", "spans"))
         rest = ordered.where(F.col("kind") != SPAN)
@@ -720,4 +720,4 @@ def substring_dedup(
     who = F.when(F.col("doc") != _NO_ID, F.col("doc")).cast(kinds[id_col])
     rows = rows.select("doc", "body", "found", *((who if c == id_col else F.col(f"carry_{c}")).alias(f"carry_{c}") for c in carry))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * with_text])
-    return rows.mapInArrow(_cut_pass(list(carry), with_text), schema)
+    return rows.mapInArrow(trimmed(_cut_pass(list(carry), with_text)), schema)

@@ -154,3 +154,43 @@ def test_tables_that_leave_nothing(spark, rows):
         docs = stage(spark, docs, "")
         assert docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").collect() == []
+
+
+def test_workers_give_memory_back():
+    """What a partition took isn't kept by a worker that waits for the next stage."""
+    import subprocess
+    import sys
+
+    code = """
+import pyarrow as pa
+from likenet.llm.common import trimmed
+
+def held():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+
+def run(batches):
+    for b in batches:
+        kept = [bytes(4000) for _ in range(50_000)]
+        pin = bytes(5000)  # lies above what is freed
+        pins.append(pin)
+        del kept
+        yield b
+
+pins = []
+batch = pa.RecordBatch.from_arrays([pa.array([1])], ["x"])
+before = held()
+assert list(trimmed(run)([batch])) == [batch]
+assert held() < before + 60, (before, held())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0, done.stderr
+    assert subprocess.run([sys.executable, "-c", code.replace("trimmed(run)", "run")], capture_output=True, timeout=60).returncode != 0
+
+
+def test_other_operators_words_are_forgotten():
+    from likenet.llm import packing
+    from likenet.llm.common import trimmed
+
+    packing._TOKENIZERS["a path"] = "words"
+    assert list(trimmed(iter, "packing")([])) == [] and "a path" in packing._TOKENIZERS
+    assert list(trimmed(iter)([])) == [] and not packing._TOKENIZERS
